@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality_rules, sharding, simhash
 
-MODULES = (sharding, mixing)
+MODULES = (sharding, simhash, mixing, quality_rules)
 
 
 def queries() -> dict:
