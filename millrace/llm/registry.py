@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, simhash
+from . import compression_quality, licenses, mixing, quality_rules, secrets, sharding, simhash, tokens
 
-MODULES = (sharding, simhash, mixing, quality_rules)
+MODULES = (sharding, simhash, compression_quality, mixing, secrets, tokens, licenses, quality_rules)
 
 
 def queries() -> dict:
