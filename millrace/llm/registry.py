@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontamination, licenses, mixing, quality_rules, secrets, sharding, simhash, tokens
+from . import compression_quality, decontamination, licenses, mixing, quality_rules, secrets, sharding, simhash, tokens, warc
 
-MODULES = (sharding, simhash, decontamination, compression_quality, mixing, secrets, tokens, licenses, quality_rules)
+MODULES = (sharding, simhash, warc, decontamination, compression_quality, mixing, secrets, tokens, licenses, quality_rules)
 
 
 def queries() -> dict:
