@@ -77,3 +77,17 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that only rows with the same key and text share."""
+    return F.md5(F.concat_ws("|", key_text(docs[key]), F.coalesce(docs[text], F.lit(""))))
+
+
+#: Rows of some 40 bytes that may be broadcast.
+BROADCAST_ROWS = 300_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that; df is checkpointed by then."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

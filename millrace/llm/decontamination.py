@@ -24,18 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, free, key_text, table
+from .common import bounded, checkpoint, free, row_key, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Rows of some 30 bytes that may be broadcast.
-BROADCAST_ROWS = 300_000
-
-
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has no more rows than that; df is checkpointed by then."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def words_of(text: str) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -77,11 +69,6 @@ def sketches(items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESH
     return rows.select(F.monotonically_increasing_id().alias("_item"), "item_id", "n", "size", "needed", F.floor(F.log2("size")).cast("int").alias("class"), sketch.alias("sketch"), "shingles")
 
 
-def row_key(docs: DataFrame, key: str, text: str) -> Column:
-    """128 bits that only rows with the same key and text share."""
-    return F.md5(F.concat_ws("|", key_text(docs[key]), F.coalesce(docs[text], F.lit(""))))
-
-
 def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs of a row of docs and an item it contains: _row, doc_id, item_id, n_shingles, n_shared, containment.
 

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import key_text, table
+from .common import row_key, table
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -63,11 +63,6 @@ def split_words(said: str) -> Column:
     return F.when(F.col(said) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(said), " "))
 
 
-def row_key(docs: DataFrame, key: str, text: str) -> Column:
-    """128 bits that only rows with the same key and text share."""
-    return F.md5(F.concat_ws("|", key_text(docs[key]), F.coalesce(docs[text], F.lit(""))))
-
-
 def phrases(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id, n_words, n_base, first_word, last_word, base (labels): one row for each row of docs."""
     said = docs.select(row_key(docs, key, text).alias("row"), F.col(key).alias("doc_id"), joined_words(text).alias("said"))

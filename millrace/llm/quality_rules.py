@@ -135,6 +135,19 @@ def judge(docs: DataFrame, trees: gbdt.Trees, *keep: str, text: str = "text", re
     return judged.select(*keep, *[s[c].alias(c) for c in BASE], "bad", failed.alias("base_failed"), (~failed & (F.col("bad") <= reject)).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, trees: gbdt.Trees, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows of docs that judge() keeps, with the columns of docs."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        s = pd.DataFrame([statistics_of(t) for t in texts], columns=[*BASE, *MORE], dtype="int64")
+        failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+        return ~failed & (trees.probability(features(s)) <= reject)
+
+    return docs.where(keep(docs[text]))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")), "doc_id").select("doc_id", *BASE, "base_failed", "kept", "bad")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import checkpoint, small_batches, table
+from .common import bounded, checkpoint, free, row_key, small_batches, table
 
 MAX_BITS = 2
 #: A key with more fingerprints than this goes the exact linear way.
@@ -58,15 +58,15 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); a null text is an empty one."""
+def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text") -> DataFrame:
+    """The columns `keep` and fp, the fingerprint as a signed long; a null text is an empty one."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint_of(t, words) for t in texts], dtype="uint64").astype("int64")
 
-    return docs.select(F.col(key).alias("doc_id"), fp(F.col(text)).alias("fp"))
+    return docs.select(*keep, fp(F.col(text)).alias("fp"))
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,6 +141,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row (a digest of key and text), doc_id, fp, root, component_id: one row for each row of docs."""
+    keyed = docs.select(row_key(docs, key, text).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"))
+    rows = checkpoint(fingerprints(keyed, words, "row", "doc_id"))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    stars = components(links(distinct, max_bits))
+    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -150,14 +161,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, k
     component with none has a null component_id. Repeated rows come out as
     often as they went in; an empty table gives no rows.
     """
-    rows = checkpoint(fingerprints(docs, words, key, text))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stars = components(links(distinct, max_bits))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return classes(docs, words, max_bits, key, text).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def distinct_documents(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs less all but one of each class; found has row, doc_id, root.
+
+    The least doc_id stays, null last. Of rows that repeat key and text one stays.
+    """
+    found = checkpoint(found.select("row", "doc_id", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    stays = found.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.row").alias("stays"))
+    lost = bounded(checkpoint(found.join(stays, "root").where("row <> stays").select("row").distinct()))
+    again = bounded(checkpoint(found.groupBy("row").count().where("count > 1").select("row")))
+    row = free(docs, "row")
+    kept = docs.withColumn(row, row_key(docs, key, text)).join(lost.withColumnRenamed("row", row), row, "left_anti")
+    again = again.withColumnRenamed("row", row)
+    return kept.join(again, row, "left_anti").union(kept.join(again, row, "left_semi").dropDuplicates([row])).drop(row)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
