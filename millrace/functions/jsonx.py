@@ -118,8 +118,16 @@ def json_leaves(c: Column, protected_keys: list[str]) -> Column:
     return walk(c)
 
 
+def _parsed(t: str | None) -> object:
+    """The value of a JSON text; None if it is none."""
+    try:
+        return None if t is None else json.loads(t)
+    except ValueError:
+        return None
+
+
 def masked(c: Column, names: list[str], mask: str) -> Column:
-    """JSON text with the values of these keys replaced, at any depth; canonical form."""
+    """JSON text with the values of these keys replaced, at any depth; canonical form. Null if it is no JSON."""
     hidden = frozenset(names)
 
     def rewrite(v: object) -> object:
@@ -129,13 +137,13 @@ def masked(c: Column, names: list[str], mask: str) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(rewrite(json.loads(t)), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+        return texts.map(_parsed).map(lambda v: None if v is None else json.dumps(rewrite(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
     return run(c)
 
 
 def count_keys(c: Column, names: list[str]) -> Column:
-    """How often these keys occur, at any depth."""
+    """How often these keys occur, at any depth; 0 if it is no JSON."""
     wanted = frozenset(names)
 
     def count(v: object) -> int:
@@ -145,6 +153,6 @@ def count_keys(c: Column, names: list[str]) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: 0 if t is None else count(json.loads(t))).astype("int64")
+        return texts.map(_parsed).map(count).astype("int64")
 
     return run(c)
