@@ -38,6 +38,8 @@ from .common import bounded, checkpoint, free, row_key, small_batches, table
 MAX_BITS = 2
 #: A key with more fingerprints than this goes the exact linear way.
 CROWD = 64
+#: Rows of the components' rounds in a file of a checkpoint.
+EDGES_A_FILE = 500_000
 #: Start and width of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles hashed at a time, so that a very long text needs no more memory.
@@ -124,17 +126,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each node of the edges (a, b) reaches, for nodes that are no root themselves.
 
     A star's centre gets the least of its neighbours by a partial aggregate,
-    never a list of them.
+    never a list of them. A round is kept in as many files as its edges, which
+    are never more than in the round before, want.
     """
     edges = checkpoint(edges.select("a", "b"))
-    mark = None
+    parts, mark = max(4, edges.count() // EDGES_A_FILE + 1), None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array(F.col("a"), F.col("b"))).alias("y")).where("x < y").distinct()
-        edges = checkpoint(small.toDF("a", "b"))
+        edges = checkpoint(small.toDF("a", "b").coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
