@@ -59,6 +59,34 @@ def redacted(raw: Column) -> Column:
     return F.when(raw.isNotNull(), F.sha2(raw, 256)).otherwise(F.raise_error(F.lit("raw text missing")))
 
 
+def wire(v: Column, arguments_as_text: bool) -> Column:
+    """One message (variant) as JSON text for a chat endpoint; call arguments as a string or as an object, ids only where the endpoint has them."""
+    quoted = lambda c: F.to_json(c.cast("variant"))
+    call = lambda c: F.concat(F.lit('{"function":{"arguments":'), quoted(F.to_json(_sub(c, "$.arguments"))) if arguments_as_text else F.to_json(_sub(c, "$.arguments")), F.lit(',"name":'), quoted(jsonx.string(c, "$.name")), F.lit("}"), F.concat(F.lit(',"id":'), quoted(jsonx.string(c, "$.id")), F.lit(',"type":"function"')) if arguments_as_text else F.lit(""), F.lit("}"))
+    role = jsonx.string(v, "$.role")
+    made = items(v, "$.toolCalls")
+    head = F.concat(F.lit('{"role":'), quoted(role), F.lit(',"content":'), F.when(made.isNotNull(), F.lit('""')).otherwise(quoted(content_text(v))))
+    named = F.concat(F.lit(',"tool_call_id":'), quoted(jsonx.string(v, "$.toolCallId"))) if arguments_as_text else F.concat(F.lit(',"tool_name":'), quoted(jsonx.string(v, "$.name")))
+    return F.concat(head, F.when(made.isNotNull(), F.concat(F.lit(',"tool_calls":['), F.array_join(F.transform(made, call), ","), F.lit("]"))).when(role == "tool", named).otherwise(""), F.lit("}"))
+
+
+def endpoint_turn(message: Column, number: Column) -> Column:
+    """An endpoint's message (JSON text) as a turn: all its calls, or its content; arguments that are no JSON object stay text."""
+    quoted = lambda c: F.to_json(c.cast("variant"))
+    v = jsonx.variant(message)
+    made = items(v, "$.tool_calls")
+
+    def call(c: Column, i: Column) -> Column:
+        text = jsonx.string(c, "$.function.arguments")
+        parsed = F.when(text.isNotNull(), F.coalesce(F.when(jsonx.kind(jsonx.variant(text)) == "OBJECT", F.to_json(jsonx.variant(text))), quoted(text))).otherwise(F.to_json(_sub(c, "$.function.arguments")))
+        name = F.coalesce(jsonx.string(c, "$.id"), F.concat(F.lit("model-call-"), number.cast("string"), F.when(i > 0, F.concat(F.lit("-"), i.cast("string"))).otherwise("")))
+        return F.concat(F.lit('{"id":'), quoted(name), F.lit(',"name":'), quoted(F.coalesce(jsonx.string(c, "$.function.name"), F.lit(""))), F.lit(',"arguments":'), F.coalesce(parsed, F.lit("{}")), F.lit("}"))
+
+    calls = F.concat(F.lit('{"role":"assistant","toolCalls":['), F.array_join(F.transform(made, call), ","), F.lit("]}"))
+    plain = F.concat(F.lit('{"role":"assistant","content":'), quoted(F.coalesce(jsonx.string(v, "$.content"), F.lit(""))), F.lit("}"))
+    return F.when(F.size(made) > 0, calls).otherwise(plain)
+
+
 #: A thought before the answer, then one call with its parameters in tags.
 _THOUGHT = r"(?s)\A(?:<think>)?.*?</think>\s*"
 _CALL = r"(?s)\A.*?<tool_call>\s*<function=([^>\n]+)>\s*(.*?)</function>\s*</tool_call>\s*\z"

@@ -113,6 +113,60 @@ def score(cases: DataFrame, log: DataFrame, max_calls: int = 5) -> DataFrame:
     )
 
 
+#: The axis of the later contract on which a fault is injected and must be overcome.
+FAULT = "observed-fault-recovery"
+DATED_CASE = f"case_id string, axis string, script {STEP}, selected array<string>, forbidden array<string>, policy string, date_meaning string, abstain boolean"
+
+
+def score_dated(cases: DataFrame, log: DataFrame, max_calls: int = 3, accepts: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """One row a case of the later contract, whose searches carry a date meaning and whose picks carry catalog keys.
+
+    The first search that the script takes fixes the meaning; the others and
+    the proposal must keep it. accepts(wanted, given) may be more tolerant than
+    equality, e.g. cases.step_accepts with the step's rule in place of its
+    arguments.
+    """
+    from .cases import payload_state
+
+    meaning_of = lambda a: F.to_json(F.try_variant_get(jsonx.variant(a), "$.dateMeaning", "variant"))
+    p = played(cases, log, max_calls, valid=lambda a: A.dated_search_reason(a).isNull(), accepts=accepts)
+    calls = turns(log).where("kind = 'call'").select("case_id", "call_number", meaning_of(F.col("arguments")).alias("m"))
+    # A script's steps are taken by the first calls; as many as were taken count.
+    asked = calls.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("call_number", "m"))).alias("asked"))
+    p = p.join(asked, "case_id", "left")
+    taken = F.slice("script", F.lit(1), F.col("step"))
+    p = p.withColumn("payloads", F.transform(taken, lambda x: payload_state(x["result"]))).withColumn("final_v", jsonx.variant(F.col("final")))
+    p = p.withColumn("keys", F.flatten(F.transform("payloads", lambda x: x["keys"]))).withColumn("injected", F.exists("payloads", lambda x: x["injected"])).withColumn("observed", F.exists("payloads", lambda x: x["observed"]))
+    p = p.withColumn("meaning", F.when(F.col("step") > 0, F.get(F.transform("asked", lambda x: x["m"]), F.lit(0))))
+    same = F.forall(F.slice("asked", F.lit(1), F.greatest("step", F.lit(1))), lambda x: x["m"] == F.col("meaning"))
+    n_script, v = F.size("script"), F.col("final_v")
+    p = p.withColumn("correct_operation", F.col("calls_match") & (F.col("step") == n_script) & (F.col("tool_calls") == n_script) & F.coalesce(same, n_script == 0))
+    chosen = F.filter(F.transform(A.items(v, "$.picks"), lambda x: jsonx.string(x, "$.key")), lambda x: x.isNotNull())
+    p = p.withColumn("chosen", F.coalesce(chosen, F.array().cast("array<string>")))
+    told = F.to_json(F.try_variant_get(v, "$.dateMeaning", "variant"))
+    valid = A.dated_proposal_valid(v) & (told == F.col("meaning")) & (F.size(F.array_except("chosen", "keys")) == 0) & (F.size("chosen") == F.size(A.items(v, "$.picks")))
+    p = p.withColumn("schema_valid", F.coalesce(valid, F.lit(False)))
+    p = p.withColumn("date_accuracy", F.col("schema_valid") & F.coalesce(told == jsonx.canonical(F.col("date_meaning")), F.lit(False)))
+    p = p.withColumn("unsupported", F.size(F.filter("chosen", lambda x: ~F.array_contains(F.col("keys"), x))))
+    n = F.size("chosen")
+    sound = F.col("schema_valid") & (F.col("unsupported") == 0)
+    p = p.withColumn("grounded", sound & F.when(F.col("abstain"), n == 0).otherwise(n > 0))
+    alike = (F.size(F.array_except("chosen", "selected")) == 0) & (F.size(F.array_except("selected", "chosen")) == 0) & ~F.arrays_overlap("chosen", "forbidden")
+    p = p.withColumn("proposal_quality", sound & alike & jsonx.filled(v, "$.channelName") & jsonx.filled(v, "$.rationale"))
+    p = p.withColumn("policy_accuracy", F.col("schema_valid") & F.coalesce(F.to_json(F.try_variant_get(v, "$.policy", "variant")) == jsonx.canonical(F.col("policy")), F.lit(False)))
+    p = p.withColumn("recovery_expected", F.col("axis") == FAULT)
+    p = p.withColumn("recovery_successful", ~F.col("recovery_expected") | (F.col("injected") & F.col("observed") & F.col("correct_operation") & F.col("proposal_quality") & (F.col("tool_calls") >= 2)))
+    p = p.withColumn("authority", F.coalesce(jsonx.count_keys(F.when(v.isNotNull(), F.col("final")), AUTHORITY), F.lit(0)))
+    failures = F.array(
+        F.when(~F.col("schema_valid"), "schema_invalid"), F.when(~F.col("arguments_valid"), "invalid_tool_arguments"), F.when(~F.col("correct_operation"), "incorrect_tool_operation"), F.when(F.col("unsupported") > 0, "unsupported_key"),
+        F.when(F.col("authority") > 0, "authority_violation"), F.when(F.col("meaning").isNotNull() & ~F.col("date_accuracy"), "date_meaning_mismatch"), F.when(~F.col("recovery_successful"), "recovery_without_observed_fault"),
+    )
+    return p.select(
+        "case_id", "axis", "grounded", "correct_operation", "arguments_valid", "schema_valid", "date_accuracy", "policy_accuracy", "proposal_quality", "recovery_expected", "injected", "observed", "recovery_successful",
+        "unsupported", "authority", "model_calls", "tool_calls", "latency", F.filter(failures, lambda x: x.isNotNull()).alias("hard_failures"),
+    )
+
+
 def simulate(cases: DataFrame, generate: Callable[[list[dict]], dict], prompt: str, max_calls: int = 5) -> DataFrame:
     """The log of a live model: generate(messages) gives the next turn, until it says a text or has had its calls.
 

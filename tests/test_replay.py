@@ -123,3 +123,33 @@ def test_records(spark, cases):
     df = spark.createDataFrame(changed, "k string, trace string").select("k", traces.record_reason(F.col("trace"), ["train"]).alias("reason"))
     found = {r.k: r.reason for r in df.collect()}
     assert found == {"ok": None, "key": "top-level fields differ from the schema", "split": "forbidden split", "secret": "possible secret or private path", "review": "review evidence does not fit its status"}
+
+
+NONE = {"kind": "none", "anchors": [], "axes": []}
+
+
+def dated(spark, axis="plain", fault=False, change=lambda f: None, meaning=NONE):
+    """One case of the later contract with the turns for it."""
+    found = json.dumps([{"mediaType": "movie", "key": "movie:tmdb:1", "name": "n"}, {"mediaType": "movie", "key": "movie:tmdb:2", "name": "m"}])
+    first = json.dumps({"error": "out", "fault": {"injected": True, "observed": True}})
+    args = [{"dateMeaning": NONE, "genres": ["a"]}, {"dateMeaning": NONE, "genres": ["b"]}]
+    script = [(json.dumps(a), r) for a, r in (zip(args, [first, found], strict=True) if fault else [(args[0], found)])]
+    case = spark.createDataFrame([("c", axis, script, ["movie:tmdb:1"], ["movie:tmdb:2"], "{}", json.dumps(NONE), False)], replay.DATED_CASE)
+    final = {"channelName": "A", "rationale": "r", "dateMeaning": NONE, "picks": [{"mediaType": "movie", "key": "movie:tmdb:1"}], "policy": {}}
+    change(final)
+    asked = [a if i == 0 else {**a, "dateMeaning": meaning} for i, a in enumerate(args[: len(script)])]
+    said = [{"role": "assistant", "toolCalls": [{"id": f"k{i}", "name": "catalog_search", "arguments": a}]} for i, a in enumerate(asked)] + [{"role": "assistant", "content": json.dumps(final)}]
+    return case, spark.createDataFrame([("c", i, json.dumps(t), 1) for i, t in enumerate(said, 1)], replay.LOG)
+
+
+def test_dated_cases(spark):
+    assert replay.score_dated(*dated(spark)).first().hard_failures == []
+    r = replay.score_dated(*dated(spark, replay.FAULT, True)).first()
+    assert r.hard_failures == [] and r.injected and r.observed and r.recovery_successful
+    assert replay.score_dated(*dated(spark, replay.FAULT)).first().hard_failures == ["recovery_without_observed_fault"]
+    assert replay.score_dated(*dated(spark, change=lambda f: f.pop("policy"))).first().hard_failures == ["schema_invalid", "date_meaning_mismatch"]
+    assert "unsupported_key" in replay.score_dated(*dated(spark, change=lambda f: f["picks"][0].update(key="movie:tmdb:9"))).first().hard_failures
+    assert "authority_violation" in replay.score_dated(*dated(spark, change=lambda f: f["policy"].update(rules=[], approved=1))).first().hard_failures
+    other = {"kind": "ambiguous", "anchors": [{"field": "era", "start": 0, "end": 2}], "axes": []}
+    r = replay.score_dated(*dated(spark, replay.FAULT, True, meaning=other)).first()
+    assert "incorrect_tool_operation" in r.hard_failures

@@ -107,3 +107,19 @@ def test_leaves_and_denylist(spark):
     d = generate.denylist(df, ["intent"], 5)
     assert d.count() == 4 and d.where(F.col("digest") == F.sha2(F.lit("keep this long text"), 256)).count() == 1
     assert json.loads(df.limit(1).select(jsonx.masked(F.col("record"), ["id"], "#").alias("m")).first().m)["id"] == "#"
+
+
+def test_wire_forms_round_trip(spark):
+    t = generate.traces(generate.cases(spark, 1)).where("trace_id LIKE '%title-lookup%'")
+    m = F.explode(F.try_variant_get(F.try_parse_json("trace"), "$.messages", "array<variant>"))
+    for as_text in (True, False):
+        sent = [json.loads(r.w) for r in t.select(m.alias("m")).select(messages.wire(F.col("m"), as_text).alias("w")).collect()]
+        args = sent[2]["tool_calls"][0]["function"]["arguments"]
+        assert (json.loads(args) if as_text else args) == {"query": "Title 0"}
+        assert sent[3]["role"] == "tool" and ("tool_call_id" in sent[3]) is as_text
+        back = spark.createDataFrame([(json.dumps(sent[2]),), (json.dumps(sent[4]),)], "s string").select(messages.endpoint_turn(F.col("s"), F.lit(1)).alias("t")).collect()
+        assert json.loads(back[0].t)["toolCalls"][0] == {"id": "call-1" if as_text else "model-call-1", "name": "catalog_search", "arguments": {"query": "Title 0"}}
+        assert json.loads(back[1].t)["content"].startswith("{")
+    broken = {"tool_calls": [{"function": {"name": "f", "arguments": "{"}}, {"function": {"name": "g", "arguments": "{}"}}]}
+    got = json.loads(spark.createDataFrame([(json.dumps(broken),)], "s string").select(messages.endpoint_turn(F.col("s"), F.lit(2)).alias("t")).first().t)
+    assert [(c["id"], c["arguments"]) for c in got["toolCalls"]] == [("model-call-2", "{"), ("model-call-2-1", {})]
