@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, results
+from . import corpus, evaluation, results
 
-QUERIES = {**corpus.QUERIES, **results.QUERIES}
-ORACLES = {**corpus.ORACLES, **results.ORACLES}
+QUERIES = {**corpus.QUERIES, **results.QUERIES, **evaluation.QUERIES}
+ORACLES = {**corpus.ORACLES, **results.ORACLES, **evaluation.ORACLES}
