@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, table
+from .common import checkpoint, fresh_path, small_batches, table
 
 LIMIT = 1024
 #: Characters given to the encoder at a time, but for a single longer text.
@@ -94,7 +94,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     """
     fill(docs, tokenizer, cache, text)
     known = cached(docs.sparkSession, cache).where(F.col("tokenizer_digest") == tokenizer_digest(tokenizer))
-    known = known.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Kept apart from the join, so that Spark can split a text with very many copies over several tasks there.
+    known = checkpoint(known.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")))
     rows = docs.select(F.col(key).alias("doc_id"), F.sha2(normalised(text), 256).alias("content_digest"), F.octet_length(normalised(text)).cast("long").alias("n_bytes"))
     return rows.join(known, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
