@@ -17,6 +17,14 @@ of each other have a word within one bit of both; every fingerprint with a
 crowded key is listed under the 65 words within one bit of it, and those that
 meet at a word are linked to the least of them: exact, and linear.
 
+Texts that share four fifths of their five-word shingles can differ in a dozen
+bits. `classes(similarity=0.8)` finds them too: a text is cut into parts where
+a shingle's hash is 0 modulo PART, so that an edit changes the parts near it
+only; parts get fingerprints of their own, and texts with a part in common (of
+the SKETCH parts with the least mixed fingerprints) are compared, by bits and
+then by their shingles. A part that many texts have leads each of them to the
+least of these alone.
+
 Components come from alternating large-star and small-star steps over the
 links, each checkpointed in the shared folder.
 """
@@ -44,31 +52,64 @@ EDGES_A_FILE = 500_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 15
+#: Shingles in a part, on average; parts of a text that are looked up.
+PART, SKETCH = 16, 8
+#: Texts with a part in common are all compared up to this number; beyond it with the least of them.
+FEW = 16
+#: Texts that resemble each other enough have fewer differing bits than this.
+FAR = 20
 
 
-def fingerprint_of(text: str | None, words: int = 3) -> int:
-    """The unsigned fingerprint of one text; 0 without words."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _packed(ones: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Fingerprints from the counts of set bits among n hashes each."""
+    return np.packbits(2 * ones > n, axis=-1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def fingerprint_and_parts(text: str | None, words: int = 3, sketch: int = 0) -> tuple[int, list[int]]:
+    """The unsigned fingerprint of one text, 0 without words, and those of `sketch` of its parts."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return 0, []
     n = max(1, len(w) - words + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    ones, parts = np.zeros(64, dtype=np.int64), []
     for start in range(0, n, BLOCK):
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(start, min(n, start + BLOCK))], dtype=np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = _bits(hashes)
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        if sketch:
+            cuts = np.flatnonzero(hashes % np.uint64(PART) == 0)
+            cuts = np.concatenate([[0], cuts[cuts > 0]])
+            counts = np.diff(np.concatenate([cuts, [len(hashes)]]))
+            parts.append(_packed(np.add.reduceat(bits, cuts, axis=0, dtype=np.int64), counts[:, None]))
+    if not sketch:
+        return int(_packed(ones, n)[0]), []
+    every = np.unique(np.concatenate(parts))
+    mixed = every * np.uint64(0x9E3779B97F4A7C15)
+    least = np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")[:sketch]
+    return int(_packed(ones, n)[0]), every[least].tolist()
+
+
+def fingerprint_of(text: str | None, words: int = 3) -> int:
+    """The unsigned fingerprint of one text; 0 without words."""
+    return fingerprint_and_parts(text, words)[0]
 
 
-def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text") -> DataFrame:
-    """The columns `keep` and fp, the fingerprint as a signed long; a null text is an empty one."""
+def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text", sketch: int = 0) -> DataFrame:
+    """The columns `keep`, fp, the fingerprint as a signed long, and with `sketch` parts, those of parts; a null text is an empty one."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t, words) for t in texts], dtype="uint64").astype("int64")
+    @F.pandas_udf("struct<fp: long, parts: array<long>>")
+    def fp(texts: pd.Series) -> pd.DataFrame:
+        found = [fingerprint_and_parts(t, words, sketch) for t in texts]
+        parts = [np.array(p, dtype=np.uint64).view(np.int64) for _, p in found]
+        return pd.DataFrame({"fp": pd.Series([f for f, _ in found], dtype="uint64").astype("int64"), "parts": pd.Series(parts, dtype=object)})
 
-    return docs.select(*keep, fp(F.col(text)).alias("fp"))
+    rows = docs.select(*keep, fp(F.col(text)).alias("f"))
+    return rows.select(*keep, "f.fp", *["f.parts"] * bool(sketch))
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,15 +185,61 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row (a digest of key and text), doc_id, fp, root, component_id: one row for each row of docs."""
+def resemblance(a: str | None, b: str | None, words: int) -> float:
+    """The Jaccard similarity of two texts' sets of shingles; of fewer words than a shingle has, all are one."""
+
+    def shingles(text: str | None) -> set[bytes]:
+        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def resembling(rows: DataFrame, texts: DataFrame, similarity: float, words: int = 5) -> DataFrame:
+    """Links a < b of fingerprints whose texts resemble each other by `similarity`, beyond the bits that links() takes.
+
+    rows has row, doc_id, fp, parts; texts has row and text. One text stands
+    for each fingerprint. Pairs come from common parts: all pairs of a few
+    texts, else each with the least doc_id, so their number is linear.
+    """
+    reps = checkpoint(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "parts")).alias("r")).select("fp", F.col("r.doc_id").alias("doc_id"), F.col("r.row").alias("row"), F.col("r.parts").alias("parts")))
+    keyed = reps.select(F.explode("parts").alias("part"), "fp", "doc_id")
+    shared = checkpoint(keyed.groupBy("part").agg(F.min(F.struct("doc_id", "fp")).alias("c"), F.count("*").alias("n")).where("n > 1").select("part", F.col("c.fp").alias("center"), "n"))
+    mine = keyed.select("part", "fp").join(shared, "part")
+    few = mine.where(F.col("n") <= FEW).select("part", F.col("fp").alias("a"))
+    pairs = few.join(few.withColumnRenamed("a", "b"), "part").where("a < b").select("a", "b")
+    stars = mine.where(F.col("n") > FEW).select(F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b")).where("a < b")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pairs = checkpoint(pairs.union(stars).where((apart > MAX_BITS) & (apart < FAR)).distinct())
+    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "row"), "fp"))
+    told = checkpoint(texts.join(bounded(wanted), "row").groupBy("fp").agg(F.first("text").alias("text")))
+    small_batches(rows.sparkSession)
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([resemblance(x, y, words) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    both = pairs.join(told.toDF("a", "x"), "a").join(told.toDF("b", "y"), "b")
+    return both.where(alike("x", "y") >= similarity).select("a", "b")
+
+
+def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
+    """row (a digest of key and text), doc_id, fp, root, component_id: one row for each row of docs.
+
+    With `similarity`, texts that share that much of their five-word shingles
+    are linked too.
+    """
     keyed = docs.select(row_key(docs, key, text).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"))
-    rows = checkpoint(fingerprints(keyed, words, "row", "doc_id"))
+    rows = checkpoint(fingerprints(keyed, words, "row", "doc_id", sketch=SKETCH if similarity else 0))
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stars = components(links(distinct, max_bits))
+    found = links(distinct, max_bits)
+    if similarity:
+        found = found.union(resembling(rows, keyed.select("row", "text"), similarity))
+    stars = components(found)
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp")
+    return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -91,3 +91,35 @@ def test_one_document_of_each_class_stays(spark):
     for r in got:
         ids = [i for i, t, *_ in rows if root[fingerprint(t)] == root[fingerprint(r["text"])] and i is not None]
         assert r["doc_id"] == (min(ids) if ids else None)
+
+
+def edited(text, seed, share):
+    rnd = random.Random(seed)
+    return " ".join(f"edit{rnd.randrange(10**6)}" if rnd.random() < share else w for w in text.split())
+
+
+def test_resembling_texts_are_linked(spark):
+    words = lambda n, seed: " ".join(f"w{random.Random(f'{seed}-{i}').randrange(4000)}" for i in range(n))
+    passage = words(60, "passage")
+    rows = [(i, words(300, i)) for i in range(3)]
+    rows += [(100 + i, edited(rows[0][1], i, 0.006)) for i in range(60)]  # more than FEW share their parts
+    rows += [(200 + i, words(200, 1000 + i) + " " + passage) for i in range(40)]  # a passage in common is not enough
+    rows += [(300, edited(rows[1][1], 9, 0.01)), (301, edited(rows[2][1], 9, 0.3)), (302, None), (303, "")]
+    text = dict(rows)
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(docs, similarity=0.8).collect()}
+    alike = lambda i, j: simhash.resemblance(text[i], text[j], 5) >= 0.8
+    assert got[300] == 1 if alike(1, 300) else True
+    assert all(got[100 + i] == 0 for i in range(60) if alike(0, 100 + i)) and sum(alike(0, 100 + i) for i in range(60)) > 50
+    assert all(got[200 + i] == 200 + i for i in range(40)) and got[301] == 301 and got[302] == got[303] == 302
+    assert simhash.resemblance("a b", "A b", 5) == 1.0 and simhash.resemblance("", None, 5) == 1.0 and simhash.resemblance("a", "", 5) == 0.0
+    assert simhash.classes(frame(spark, []), similarity=0.8).count() == 0
+
+
+def test_parts_change_near_an_edit_only():
+    text = prose(400, 3)
+    fp, parts = simhash.fingerprint_and_parts(text, 3, 1000)
+    _, other = simhash.fingerprint_and_parts("new " + text, 3, 1000)
+    assert fp == fingerprint(text) and len(parts) > 10
+    assert len(set(parts) ^ set(other)) <= 4
+    assert simhash.fingerprint_and_parts("", 3, 8) == (0, [])
