@@ -196,5 +196,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+#: What writing and reading must give: each five bits of the SHA-1 are a digit, eight digits to ten of its hex digits.
+ORACLE = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 1 + 10 * CAST(k // 8 AS INTEGER), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1) for k in range(32)], '') AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS largest FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to, CAST(NULL AS VARCHAR) AS error FROM w
+"""
+
 QUERIES = {"op3_warc": op3_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_warc": ORACLE}
