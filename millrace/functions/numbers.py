@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MONEY = "decimal(38,22)"
+#: Amounts to be added: a sum of two of 38 digits would lose the last one of its scale.
+TERM = "decimal(36,22)"
 
 
 def money(c: Column) -> Column:
@@ -14,7 +16,7 @@ def money(c: Column) -> Column:
 
 
 def within(a: Column, b: Column, tolerance: str) -> Column:
-    return F.abs(a - b) <= F.lit(tolerance).cast(MONEY)
+    return F.abs(a.cast(TERM) - b.cast(TERM)) <= F.lit(tolerance).cast(MONEY)
 
 
 def nearest_rank(name: str, q: float) -> Column:

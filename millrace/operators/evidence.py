@@ -129,3 +129,38 @@ def ordinal_coverage(found: DataFrame, expected: DataFrame, key: str, order: str
     a = found.select(F.row_number().over(w).alias("position"), F.col(key).alias("found"))
     b = expected.select(F.row_number().over(w).alias("position"), F.col(key).alias("expected"))
     return a.join(b, "position", "full_outer").where(~F.col("found").eqNullSafe(F.col("expected")))
+
+
+def endpoint(listing: Column, wanted: list[str]) -> Column:
+    """What a route is pinned by, of an endpoint's listing (JSON text): its name after the last bar, its provider, prices, and the wanted parameters it has."""
+    v = jsonx.variant(listing)
+    parameters = F.transform(items(v, "$.supported_parameters"), lambda x: F.try_variant_get(x, "$", "string"))
+    return F.struct(
+        F.trim(F.element_at(F.split(jsonx.string(v, "$.name"), r"\|"), -1)).alias("name"),
+        jsonx.string(v, "$.provider_name").alias("provider"),
+        money(jsonx.string(v, "$.pricing.prompt")).alias("prompt_price"),
+        money(jsonx.string(v, "$.pricing.completion")).alias("completion_price"),
+        F.array_sort(F.array_intersect(parameters, F.lit(wanted))).alias("parameters"),
+    )
+
+
+def request_document(model: Column, instructions: Column, packet: Column, most_tokens: int, effort: str | None = None) -> Column:
+    """A request as canonical JSON text: two messages, greedy, a bound on tokens, and an effort where the family has one."""
+    quoted = lambda c: F.to_json(c.cast("variant"))
+    message = lambda role, c: F.concat(F.lit('{"content":'), quoted(c), F.lit(f',"role":"{role}"}}'))
+    effort_part = f',"reasoning":{{"effort":"{effort}"}}' if effort else ""
+    return F.concat(F.lit(f'{{"max_tokens":{most_tokens},"messages":['), message("system", instructions), F.lit(","), message("user", packet), F.lit('],"model":'), quoted(model), F.lit(effort_part + ',"temperature":0}'))
+
+
+def replay_differences(stored: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """key, field, stored, again: where a summary that was kept differs from one computed anew; rows of one side only are there in every field."""
+    fields = [c for c in stored.columns if c != key]
+    both = stored.select(key, *[F.col(c).cast("string").alias(f"_s_{c}") for c in fields], F.lit(True).alias("_s")).join(again.select(key, *[F.col(c).cast("string").alias(f"_a_{c}") for c in fields], F.lit(True).alias("_a")), key, "full_outer")
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_s_{c}").alias("stored"), F.col(f"_a_{c}").alias("again")) for c in fields])
+    one_side = F.col("_s").isNull() | F.col("_a").isNull()
+    return both.select(key, one_side.alias("_one"), F.explode(each).alias("x")).where("_one OR NOT x.stored <=> x.again").select(key, "x.*")
+
+
+def plan_totals(requests: DataFrame, reserved: str) -> DataFrame:
+    """One row: requests, bytes, tokens, worst (exact cost at the most tokens), within (its reservation); requests has bytes, tokens, worst_cost (text)."""
+    return requests.agg(F.count("*").alias("requests"), F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.sum(money(F.col("worst_cost"))).alias("worst")).withColumn("within", F.coalesce(F.col("worst") <= F.lit(reserved).cast("decimal(38,22)"), F.lit(True)))

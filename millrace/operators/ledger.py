@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import MONEY, ceil_hour, seconds
+from ..functions.numbers import MONEY, TERM, ceil_hour, seconds, within
 
 
 def reconcile(buckets: DataFrame, by: str, components: list[str], total: str, tolerance: str) -> DataFrame:
@@ -13,8 +13,8 @@ def reconcile(buckets: DataFrame, by: str, components: list[str], total: str, to
     sums = buckets.groupBy(by).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in components], F.sum(total).alias(total))
     parts = None
     for c in components:
-        parts = F.col(c) if parts is None else parts + F.col(c)
-    return sums.withColumn("balanced", F.abs(parts - F.col(total)) <= F.lit(tolerance).cast(MONEY))
+        parts = F.col(c).cast(TERM) if parts is None else (parts + F.col(c).cast(TERM)).cast(TERM)
+    return sums.withColumn("balanced", within(parts, F.col(total), tolerance))
 
 
 def running_cap(spend: DataFrame, order: str, amount: str, cap: str, buckets: int = 64) -> DataFrame:
@@ -46,6 +46,7 @@ def billed_hour(t: Column) -> Column:
 
 def ledger_problem(posted: Column, outstanding: Column, committed: Column, authorized: Column, cost: Column, reserved: Column) -> Column:
     """What forbids a settlement: the first of the ledger's identities that fails; null if none."""
+    posted, outstanding, committed, authorized, cost, reserved = (c.cast(TERM) for c in (posted, outstanding, committed, authorized, cost, reserved))
     return (
         F.when(posted + outstanding != committed, "posted and outstanding are not what is committed")
         .when(cost > reserved, "the cost exceeds its reservation")
@@ -55,11 +56,11 @@ def ledger_problem(posted: Column, outstanding: Column, committed: Column, autho
 
 def settle(ledger: DataFrame, cost: str, reserved: str) -> DataFrame:
     """The ledger (posted, outstanding, committed, authorized) after a reservation is settled at its cost; raises if an identity fails."""
-    c, r = F.lit(cost).cast(MONEY), F.lit(reserved).cast(MONEY)
+    c, r = F.lit(cost).cast(TERM), F.lit(reserved).cast(TERM)
     problem = ledger_problem(F.col("posted"), F.col("outstanding"), F.col("committed"), F.col("authorized"), c, r)
-    checked = ledger.withColumn("posted", F.when(problem.isNull(), (F.col("posted") + c).cast(MONEY)).otherwise(F.raise_error(problem)))
-    checked = checked.withColumn("outstanding", (F.col("outstanding") - r).cast(MONEY))
-    return checked.withColumn("committed", (F.col("posted") + F.col("outstanding")).cast(MONEY))
+    checked = ledger.withColumn("posted", F.when(problem.isNull(), (F.col("posted").cast(TERM) + c).cast(MONEY)).otherwise(F.raise_error(problem)))
+    checked = checked.withColumn("outstanding", (F.col("outstanding").cast(TERM) - r).cast(MONEY))
+    return checked.withColumn("committed", (F.col("posted").cast(TERM) + F.col("outstanding").cast(TERM)).cast(MONEY))
 
 
 def append_bucket(buckets: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -65,3 +65,63 @@ def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_or
     a = left.withColumn("position", F.row_number().over(Window.orderBy(*left_order)))
     b = right.withColumn("position", F.row_number().over(Window.orderBy(*right_order)))
     return a.join(b, "position", "full_outer")
+
+
+#: The keys of a decision and of one reviewer's part of it.
+DECISION = ["schemaVersion", "traceId", "primary", "secondary"]
+PERSON = ["verdict", "reviewer", "reviewedAt", "notes"]
+
+
+def decision_reason(decision: Column, required: Column) -> Column:
+    """Why a decision (JSON text) is refused; `required` says whether it needs a second reviewer.
+
+    A settled verdict has a reviewer and a UTC time, a pending one has no
+    evidence; a second review differs in person and comes after the first.
+    """
+    from ..functions import jsonx
+    from ..functions.numbers import utc
+    from .rules import Rule, first_reason
+
+    v = jsonx.variant(decision)
+    text = lambda who, k: F.coalesce(jsonx.string(v, f"$.{who}.{k}"), F.lit(""))
+    settled = lambda who: text(who, "verdict").isin(*SETTLED)
+    at = lambda who: utc(jsonx.string(v, f"$.{who}.reviewedAt"))
+    evidence = lambda who: (text(who, "reviewer") != "") | (text(who, "reviewedAt") != "") | (text(who, "notes") != "")
+    sub = lambda who: F.to_json(F.try_variant_get(v, f"$.{who}", "variant"))
+    sound = lambda who: ~settled(who) | ((text(who, "reviewer") != "") & at(who).isNotNull())
+    second = required & settled("secondary")
+    return first_reason([
+        Rule("decision fields differ from the schema", jsonx.closed(decision, DECISION) & (jsonx.integer(v, "$.schemaVersion") == 1)),
+        Rule("primary fields differ from the schema", jsonx.closed(sub("primary"), PERSON)),
+        Rule("secondary fields differ from the schema", jsonx.closed(sub("secondary"), [*PERSON, "required"])),
+        Rule("secondary requirement drifted", F.coalesce(F.when(jsonx.kind(v, "$.secondary.required") == "BOOLEAN", F.try_variant_get(v, "$.secondary.required", "boolean")) == required, F.lit(False))),
+        Rule("unknown verdict", text("primary", "verdict").isin("pending", *SETTLED) & F.when(required, text("secondary", "verdict").isin("pending", *SETTLED)).otherwise(text("secondary", "verdict") == "not-required")),
+        Rule("a settled verdict needs a reviewer and a UTC time", sound("primary") & sound("secondary")),
+        Rule("a pending verdict carries evidence", (settled("primary") | ~evidence("primary")) & (settled("secondary") | ~evidence("secondary"))),
+        Rule("primary and secondary reviewers must differ", ~second | (text("primary", "reviewer") != text("secondary", "reviewer"))),
+        Rule("secondary review must follow primary review", ~second | (at("secondary") > at("primary"))),
+    ])
+
+
+def pending(drafts: DataFrame, criteria: list[str], key: str = "trace_id", text: str = "trace") -> DataFrame:
+    """One undecided row for each draft, bound to its digest: key, trace_sha256, reviewer, verdict, criteria (by name, null), notes."""
+    return drafts.select(key, F.sha2(text, 256).alias("trace_sha256"), F.lit("").alias("reviewer"), F.lit("pending").alias("verdict"), F.create_map(*[x for c in criteria for x in (F.lit(c), F.lit(None).cast("boolean"))]).alias("criteria"), F.lit("").alias("notes"))
+
+
+def trace_review(status: Column, primary: Column, secondary: Column, reviewed_at: Column, notes: Column) -> Column:
+    """The review that a trace carries: reviewers joined by + only where it is approved."""
+    both = F.concat_ws("+", F.nullif(primary, F.lit("")), F.nullif(secondary, F.lit("")))
+    approved = status == "approved"
+    return F.struct(status.alias("status"), F.when(approved, both).otherwise("").alias("reviewer"), F.when(approved, reviewed_at).alias("reviewedAt"), F.coalesce(notes, F.lit("")).alias("notes"))
+
+
+def verdict_counts(decisions: DataFrame, by: str, verdict: str = "verdict", reviewer: str = "reviewer") -> DataFrame:
+    """by, approved, rejected, pending, reviewers (the distinct names, sorted: a handful)."""
+    count = lambda v: F.count_if(F.col(verdict) == v).alias(v)
+    return decisions.groupBy(by).agg(*[count(v) for v in (*SETTLED, "pending")], F.array_sort(F.collect_set(F.nullif(F.col(reviewer), F.lit("")))).alias("reviewers"))
+
+
+def escalated(attestations: DataFrame, item: str = "item", role: str = "role", verdict: str = "verdict") -> DataFrame:
+    """item, status, for items with attestations of two roles: approved if both approve, else escalated; one missing role escalates too."""
+    per = attestations.groupBy(item).agg(F.count_distinct(role).alias("roles"), F.bool_and(F.col(verdict) == "approved").alias("all"))
+    return per.select(item, F.when((F.col("roles") == 2) & F.col("all"), "approved").otherwise("escalated").alias("status"))
