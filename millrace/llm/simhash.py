@@ -262,7 +262,8 @@ def distinct_documents(docs: DataFrame, found: DataFrame, key: str = "doc_id", t
     """
     found = checkpoint(found.select("row", "doc_id", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    stays = found.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.row").alias("stays"))
+    # Kept apart from the join, so that Spark can split a class with very many rows over several tasks there.
+    stays = checkpoint(found.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.row").alias("stays")))
     lost = bounded(checkpoint(found.join(stays, "root").where("row <> stays").select("row").distinct()))
     again = bounded(checkpoint(found.groupBy("row").count().where("count > 1").select("row")))
     row = free(docs, "row")
