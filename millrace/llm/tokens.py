@@ -80,7 +80,9 @@ def fill(docs: DataFrame, tokenizer: str, cache: str, text: str = "text") -> Non
 
     content = docs.select(F.sha2(normalised(text), 256).alias("content_digest"), normalised(text).alias("content"))
     known = cached(spark, cache).where(F.col("tokenizer_digest") == version).select("content_digest")
-    misses = content.join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("content").alias("content"))
+    # Copies are merged where they are read, before anything is shuffled.
+    distinct = content.groupBy("content_digest").agg(F.first("content").alias("content"))
+    misses = distinct.join(known, "content_digest", "left_anti")
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
 
 
