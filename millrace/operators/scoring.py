@@ -46,13 +46,14 @@ def unpivot(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return df.unpivot(key, metrics, "metric", "value")
 
 
-def threshold_gate(metrics: DataFrame, thresholds: DataFrame, key: str) -> DataFrame:
-    """key, failing, decision from (key, metric, value) and (metric, least): the metrics below their threshold, sorted and comma-joined.
+def threshold_gate(metrics: DataFrame, thresholds: dict[str, float], key: str) -> DataFrame:
+    """key, failing, decision from (key, metric, value) and the least value of each metric: the metrics below it, sorted and comma-joined.
 
     A metric without value fails. Equality up to EPSILON passes.
     """
     keys = metrics.select(key).distinct()
-    wanted = keys.join(F.broadcast(thresholds.hint("broadcast")))  # thresholds: a handful of named metrics
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("least")) for m, v in thresholds.items()]))
+    wanted = keys.select(key, each.alias("t")).select(key, "t.metric", "t.least")
     both = wanted.join(metrics, [key, "metric"], "left")
     fails = both.withColumn("fails", ~F.coalesce(F.col("value") + EPSILON >= F.col("least"), F.lit(False)))
     out = fails.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("fails"), F.col("metric")))), ",").alias("failing"))

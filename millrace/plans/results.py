@@ -74,8 +74,8 @@ SELECT source, array_to_string(l, ',') AS failing, CASE WHEN len(l) = 0 THEN 'pa
 def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     m = both.groupBy("source").agg(scoring.rate(F.col("quality") == 1).alias("quality"), (1 - scoring.rate(F.col("toxic") == 1)).alias("clean"), (F.count("quality") / F.count("*")).alias("labelled"))
-    least = spark.createDataFrame([("quality", 0.85), ("clean", 0.9), ("labelled", 0.4)], "metric string, least double")
-    return scoring.threshold_gate(scoring.unpivot(m, "source", ["quality", "clean", "labelled"]), least, "source")
+    least = {"quality": 0.85, "clean": 0.9, "labelled": 0.4}
+    return scoring.threshold_gate(scoring.unpivot(m, "source", list(least)), least, "source")
 
 
 @query("""WITH s AS (SELECT event_type, avg(CAST(value > 10 AS INT)) FILTER (event_id % 2 = 0) AS a, avg(CAST(value > 10 AS INT)) FILTER (event_id % 2 = 1) AS b, avg(CAST(value > 30 AS INT)) FILTER (event_id % 2 = 0) AS c, avg(CAST(value > 30 AS INT)) FILTER (event_id % 2 = 1) AS d FROM events GROUP BY 1),
