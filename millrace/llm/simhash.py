@@ -18,12 +18,13 @@ crowded key is listed under the 65 words within one bit of it, and those that
 meet at a word are linked to the least of them: exact, and linear.
 
 Texts that share four fifths of their five-word shingles can differ in a dozen
-bits. `classes(similarity=0.8)` finds them too: a text is cut into parts where
-a shingle's hash is 0 modulo PART, so that an edit changes the parts near it
-only; parts get fingerprints of their own, and texts with a part in common (of
-the SKETCH parts with the least mixed fingerprints) are compared, by bits and
-then by their shingles. A part that many texts have leads each of them to the
-least of these alone.
+bits. `classes(similarity=0.8)` finds all of them too, by an exact join of the
+distinct shingle sets with prefix and positional filters. Any one order of the
+shingles gives all pairs; a sample of the texts tells which shingles are common
+and go last, which decides on the speed only. Shingles that more than CROWD
+prefixes have lead their sets to one of them first; what is not in one
+component by then is compared in full, so that a crowd of near copies costs
+little and none of its links is lost.
 
 Components come from alternating large-star and small-star steps over the
 links, each checkpointed in the shared folder.
@@ -32,6 +33,7 @@ links, each checkpointed in the shared folder.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -52,12 +54,18 @@ EDGES_A_FILE = 500_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 15
-#: Shingles in a part, on average; parts of a text that are looked up.
-PART, SKETCH = 16, 8
-#: Texts with a part in common are all compared up to this number; beyond it with the least of them.
-FEW = 16
-#: Texts that resemble each other enough have fewer differing bits than this.
-FAR = 20
+#: Shingles in a part, on average.
+PART = 16
+#: Words in a shingle of the sets that are compared.
+FIVE = 5
+#: One text in so many is sampled for common shingles, of a table of this many texts or more; fewer are sampled less thinly.
+SAMPLED, ENOUGH = 8, 20_000
+#: A shingle is common if so many sampled texts have it; common shingles that are told to the tasks, at most.
+OFTEN, COMMON = 3, 1 << 18
+#: Characters of a text whose shingles are kept while others are compared with it.
+KEPT = 1 << 13
+#: What rounding may take from a bound.
+EPS = 1e-6
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -98,18 +106,76 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     return fingerprint_and_parts(text, words)[0]
 
 
-def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text", sketch: int = 0) -> DataFrame:
-    """The columns `keep`, fp, the fingerprint as a signed long, and with `sketch` parts, those of parts; a null text is an empty one."""
+def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text") -> DataFrame:
+    """The columns `keep` and fp, the fingerprint as a signed long; a null text is an empty one."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("struct<fp: long, parts: array<long>>")
-    def fp(texts: pd.Series) -> pd.DataFrame:
-        found = [fingerprint_and_parts(t, words, sketch) for t in texts]
-        parts = [np.array(p, dtype=np.uint64).view(np.int64) for _, p in found]
-        return pd.DataFrame({"fp": pd.Series([f for f, _ in found], dtype="uint64").astype("int64"), "parts": pd.Series(parts, dtype=object)})
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint_of(t, words) for t in texts], dtype="uint64").astype("int64")
 
-    rows = docs.select(*keep, fp(F.col(text)).alias("f"))
-    return rows.select(*keep, "f.fp", *["f.parts"] * bool(sketch))
+    return docs.select(*keep, fp(F.col(text)).alias("fp"))
+
+
+def shingle_hashes(text: str | None, words: int = FIVE) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending; of fewer words than a shingle has, all are one."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 5) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, ascending, and how many sampled texts have them. Copies of a text count once."""
+    small_batches(docs.sparkSession)
+    one_in = min(SAMPLED, docs.count() // ENOUGH + 1)
+    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t).view(np.int64))], names=["shingle"])
+
+    counts = checkpoint(some.mapInArrow(hashed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN))
+    total, least = 0, OFTEN
+    for n, how_many in sorted(map(tuple, counts.groupBy("n").agg(F.count("*").alias("k")).collect()), reverse=True):
+        total, least = total + how_many, n
+        if total > COMMON:
+            least = n + 1
+            break
+    told = counts.where(F.col("n") >= least).toPandas()
+    hashes = told["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], told["n"].to_numpy(dtype=np.int64)[order]
+
+
+def prefix_of(hashes: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The rarest of the ascending hashes, one of which any set of that similarity has too, rarest first; how many of them are not common."""
+    seen = np.zeros(len(hashes), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, often[at], 0)
+    first = np.argsort(seen, kind="stable")[: len(hashes) - int(np.ceil(similarity * len(hashes) - EPS)) + 1]
+    return hashes[first], int((seen[first] == 0).sum())
+
+
+def shingle_sets(docs: DataFrame, words: int, similarity: float, *keep: str, text: str = "text") -> DataFrame:
+    """What fingerprints() gives, and set (a digest of the five-word shingles, null without words), n (their number), prefix and rare (what prefix_of gives)."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))  # of bounded size
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<fp: long, set: long, n: int, rare: int, prefix: array<long>>")
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common, often = shared.value
+        for texts in batches:
+            found = []
+            for t in texts:
+                hashes = shingle_hashes(t)
+                prefix, rare = prefix_of(hashes, common, often, similarity)
+                of = np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64) if len(hashes) else None
+                found.append((np.uint64(fingerprint_of(t, words)).astype(np.int64), of, len(hashes), rare, prefix[: len(hashes)].view(np.int64)))
+            yield pd.DataFrame(found, columns=["fp", "set", "n", "rare", "prefix"]).astype({"fp": "int64", "set": "Int64"})
+
+    return docs.select(*keep, said(F.col(text)).alias("f")).select(*keep, "f.*")
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,43 +251,124 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def resemblance(a: str | None, b: str | None, words: int) -> float:
-    """The Jaccard similarity of two texts' sets of shingles; of fewer words than a shingle has, all are one."""
-
-    def shingles(text: str | None) -> set[bytes]:
-        w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+def _shingles(text: str | None, words: int) -> set[bytes]:
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y) if x or y else 1.0
 
+_kept_shingles = lru_cache(maxsize=512)(_shingles)
 
-def resembling(rows: DataFrame, texts: DataFrame, similarity: float, words: int = 5) -> DataFrame:
-    """Links a < b of fingerprints whose texts resemble each other by `similarity`, beyond the bits that links() takes.
 
-    rows has row, doc_id, fp, parts; texts has row and text. One text stands
-    for each fingerprint. Pairs come from common parts: all pairs of a few
-    texts, else each with the least doc_id, so their number is linear.
+def resemblance(a: str | None, b: str | None, words: int) -> float:
+    """The Jaccard similarity of two texts' sets of shingles; of fewer words than a shingle has, all are one."""
+    x, y = ((_kept_shingles if len(t or "") < KEPT else _shingles)(t, words) for t in (a, b))
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
+def _meeting(similarity: float, crowd: int):
+    """A function of batches of (shingle, set, n, rest) in the order of shingle: pairs (a, b) that can have the similarity, and the rows of shingles with more than `crowd`, b null."""
+    share = similarity / (1 + similarity)
+
+    def told(rows: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+        shingle, a, n, rest = rows
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.array(shingle), pa.array(n), pa.array(rest)], names=["a", "b", "shingle", "n", "rest"])
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        sizes = np.diff(np.concatenate([starts, [rows.shape[1]]]))
+        of = np.repeat(sizes, sizes)
+        if (of > crowd).any():
+            yield told(rows[:, of > crowd])
+        rows = rows[:, (of > 1) & (of <= crowd)]
+        for apart in range(1, min(crowd, rows.shape[1])):
+            x, y = rows[:, :-apart], rows[:, apart:]
+            same = x[0] == y[0]
+            if not same.any():
+                break
+            same &= np.minimum(x[3], y[3]) >= share * (x[2] + y[2]) - EPS
+            if same.any():
+                x, y = x[:, same], y[:, same]
+                yield told(np.stack([x[0], np.minimum(x[1], y[1]), x[2], x[3]]), np.maximum(x[1], y[1]))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = np.zeros((4, 0), dtype=np.int64), None
+        for b in batches:
+            rows = np.concatenate([held, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])], axis=1)
+            if crowded is not None:
+                more = rows[0] == crowded
+                if more.any():
+                    yield told(rows[:, more])
+                    rows = rows[:, ~more]
+            held = rows
+            if not rows.shape[1]:
+                continue
+            end = int(np.searchsorted(rows[0], rows[0, -1]))
+            if end:
+                yield from pairs(rows[:, :end])
+            held = rows[:, end:]
+            if held.shape[1] > crowd:
+                crowded = held[0, 0]
+                yield told(held)
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from pairs(held)
+
+    return met
+
+
+def resembling(rows: DataFrame, texts: DataFrame, similarity: float, known: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links a < b of fingerprints that connect, with the links `known`, all texts that resemble each other by `similarity`.
+
+    rows has row and what shingle_sets() gives; texts has row and text. One
+    text stands for each shingle set. Two sets of the similarity have their
+    first common shingle in both prefixes, and from there on as many shingles
+    as their overlap wants: no pair is lost by that. Sets of a crowded shingle
+    are compared with one of them, that with the rarest shingle's place nearest
+    to the front; then those outside the largest component of the shingle with
+    all of other components.
     """
-    reps = checkpoint(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "row", "parts")).alias("r")).select("fp", F.col("r.doc_id").alias("doc_id"), F.col("r.row").alias("row"), F.col("r.parts").alias("parts")))
-    keyed = reps.select(F.explode("parts").alias("part"), "fp", "doc_id")
-    shared = checkpoint(keyed.groupBy("part").agg(F.min(F.struct("doc_id", "fp")).alias("c"), F.count("*").alias("n")).where("n > 1").select("part", F.col("c.fp").alias("center"), "n"))
-    mine = keyed.select("part", "fp").join(shared, "part")
-    few = mine.where(F.col("n") <= FEW).select("part", F.col("fp").alias("a"))
-    pairs = few.join(few.withColumnRenamed("a", "b"), "part").where("a < b").select("a", "b")
-    stars = mine.where(F.col("n") > FEW).select(F.least("fp", "center").alias("a"), F.greatest("fp", "center").alias("b")).where("a < b")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = checkpoint(pairs.union(stars).where((apart > MAX_BITS) & (apart < FAR)).distinct())
-    wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps.select("fp", "row"), "fp"))
-    told = checkpoint(texts.join(bounded(wanted), "row").groupBy("fp").agg(F.first("text").alias("text")))
-    small_batches(rows.sparkSession)
+    share = similarity / (1 + similarity)
+    reps = rows.where("set IS NOT NULL").groupBy("set").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.max("n").alias("n"), F.max("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    reps = checkpoint(reps)
+    sets = reps.select("set", "fp", "row")
+    same = rows.where("set IS NOT NULL").select("set", "fp").distinct().join(sets.select("set", F.col("fp").alias("a")), "set").where("fp <> a").select("a", F.col("fp").alias("b"))
+    posts = reps.select("set", "n", "rare", F.posexplode("prefix").alias("i", "shingle"))
+    posts = posts.select("shingle", "set", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("i")).cast("long").alias("rest"), (F.col("i") >= F.col("rare")).alias("common"))
+    columns = ["shingle", "set", "n", "rest"]
+    met = posts.where("NOT common").select(*columns).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_meeting(similarity, crowd), "a long, b long, shingle long, n long, rest long")
+    met = checkpoint(met)
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([resemblance(x, y, words) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    both = pairs.join(told.toDF("a", "x"), "a").join(told.toDF("b", "y"), "b")
-    return both.where(alike("x", "y") >= similarity).select("a", "b")
+        return pd.Series([resemblance(x, y, FIVE) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = checkpoint(pairs.where("a <> b").distinct())
+        wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set"))
+        told = checkpoint(texts.join(bounded(wanted), "row").groupBy("set").agg(F.first("fp").alias("fp"), F.first("text").alias("text")))
+        small_batches(rows.sparkSession)
+        both = pairs.join(told.toDF("a", "fa", "x"), "a").join(told.toDF("b", "fb", "y"), "b").where("fa <> fb")
+        return checkpoint(both.where(alike("x", "y") >= similarity).select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct())
+
+    pairs = met.where("b IS NOT NULL").select("a", "b")
+    crowds = checkpoint(posts.where("common").select(*columns).union(met.where("b IS NULL").select("shingle", "a", "n", "rest")))
+    heads = crowds.groupBy("shingle").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("rest")).alias("i"), "set", "n")).alias("h")).where("m > 1").select("shingle", F.col("h.set").alias("b"), F.col("h.n").alias("bn"))
+    stars = crowds.join(heads, "shingle").where(F.least("n", "bn") >= similarity * F.greatest("n", "bn") - EPS)
+    found = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(verified(pairs.union(stars.select(F.least("set", "b"), F.greatest("set", "b")))))
+    found = checkpoint(found)
+    if crowds.isEmpty():
+        return found
+
+    roots = components(known.select("a", "b").union(found))
+    placed = crowds.join(sets.select("set", "fp"), "set").join(roots, F.col("fp") == F.col("node"), "left").select(*columns, F.coalesce("root", "fp").alias("root"))
+    placed = checkpoint(placed)
+    largest = placed.groupBy("shingle", "root").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max(F.struct("m", "root")).alias("g"), F.count("*").alias("k"))
+    apart = checkpoint(placed.join(largest.where("k > 1").select("shingle", F.col("g.root").alias("giant")), "shingle"))
+    other = apart.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("set", "n", "rest", "root")])
+    fits = F.least("rest", "b_rest") >= share * (F.col("n") + F.col("b_n")) - EPS
+    left = apart.where("root <> giant").join(other, "shingle").where((F.col("root") != F.col("b_root")) & fits & ((F.col("b_root") == F.col("giant")) | (F.col("set") < F.col("b_set"))))
+    return found.union(verified(left.select(F.least("set", "b_set").alias("a"), F.greatest("set", "b_set").alias("b"))))
 
 
 def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
@@ -231,11 +378,12 @@ def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str
     are linked too.
     """
     keyed = docs.select(row_key(docs, key, text).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"))
-    rows = checkpoint(fingerprints(keyed, words, "row", "doc_id", sketch=SKETCH if similarity else 0))
+    rows = checkpoint(shingle_sets(keyed, words, similarity, "row", "doc_id") if similarity else fingerprints(keyed, words, "row", "doc_id"))
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = links(distinct, max_bits)
     if similarity:
-        found = found.union(resembling(rows, keyed.select("row", "text"), similarity))
+        found = checkpoint(found)
+        found = found.union(resembling(rows, keyed.select("row", "text"), similarity, found))
     stars = components(found)
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -123,3 +123,43 @@ def test_parts_change_near_an_edit_only():
     assert fp == fingerprint(text) and len(parts) > 10
     assert len(set(parts) ^ set(other)) <= 4
     assert simhash.fingerprint_and_parts("", 3, 8) == (0, [])
+
+
+def classes_by_force(rows):
+    """The partition of the texts that 0.8 of five-word shingles and two bits of the fingerprints connect."""
+    prints = {i: fingerprint(t) for i, t in rows}
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, t in rows:
+        for j, u in rows:
+            if i < j and find(i) != find(j) and ((prints[i] ^ prints[j]).bit_count() <= 2 or simhash.resemblance(t, u, 5) >= 0.8):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i, _ in rows}
+
+
+def random_words(n, seed):
+    rnd = random.Random(str(seed))
+    return [f"w{rnd.randrange(5000)}" for _ in range(n)]
+
+
+def one_edit(words, seed):
+    at = random.Random(str(seed)).randrange(len(words))
+    return words[:at] + [f"edit{seed}"] + words[at + 1 :]
+
+
+def test_near_copies_within_a_crowd(spark):
+    passage = random_words(200, "passage")
+    own = [random_words(60, i) for i in range(80)]
+    rows = [(i, " ".join(w + passage)) for i, w in enumerate(own)]  # more than CROWD share the passage
+    rows += [(1000 + i, " ".join(one_edit(one_edit(w, i), 500 + i) + passage)) for i, w in enumerate(own)]
+    # Mostly passage: one in two pairs is near, so that its shingles are crowded in the prefixes.
+    rows += [(2000 + i, " ".join(random_words(8 + i % 30, f"few{i}") + random_words(120, "other"))) for i in range(90)]
+    want = classes_by_force(rows)
+    assert sum(want[1000 + i] == i for i in range(80)) == 80 and 2 < len({want[2000 + i] for i in range(90)}) < 90
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(frame(spark, [(i, t, "en", "a", 0) for i, t in rows]), similarity=0.8).collect()}
+    assert got == want
