@@ -163,3 +163,28 @@ def test_near_copies_within_a_crowd(spark):
     assert sum(want[1000 + i] == i for i in range(80)) == 80 and 2 < len({want[2000 + i] for i in range(90)}) < 90
     got = {r["doc_id"]: r["component_id"] for r in simhash.classes(frame(spark, [(i, t, "en", "a", 0) for i, t in rows]), similarity=0.8).collect()}
     assert got == want
+
+
+def test_short_texts_with_one_edited_word(spark):
+    rows = []
+    for i in range(120):
+        words = random_words(50 + i % 20, i)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(one_edit(words, i)))]
+    # The same shingles in another order: other fingerprints, one set.
+    a, b = random_words(30, "a"), random_words(30, "b")
+    rows += [(1000, " ".join(a + b + a + b + a)), (1001, " ".join(b + a + b + a + b + a + b[:4])), (1002, "one two"), (1003, "One  two"), (1004, "")]
+    want = classes_by_force(rows)
+    assert sum(want[2 * i + 1] == 2 * i for i in range(120)) > 100
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(frame(spark, [(i, t, "en", "a", 0) for i, t in rows]), similarity=0.8).collect()}
+    assert got == want
+
+
+def test_a_prefix_meets_whatever_is_similar():
+    rnd = random.Random(4)
+    common, often = np.arange(0, 400, 3, dtype=np.uint64), np.array([rnd.randrange(3, 50) for _ in range(0, 400, 3)])
+    for _ in range(3000):
+        x = set(rnd.sample(range(400), rnd.randint(1, 60)))
+        y = (x - set(rnd.sample(sorted(x), rnd.randint(0, len(x) // 4)))) | set(rnd.sample(range(400), rnd.randint(0, 8)))
+        if len(x & y) >= 0.8 * len(x | y):
+            p, q = (simhash.prefix_of(np.array(sorted(s), dtype=np.uint64), common, often, 0.8)[0] for s in (x, y))
+            assert set(p.tolist()) & set(q.tolist())
