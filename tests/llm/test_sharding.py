@@ -26,12 +26,32 @@ def test_contract(spark):
 
 
 def test_one_more_shard_takes_rows_only_into_itself(spark):
-    for n in (7, 8, 40):
-        tree = sharding.layout(n)
-        a, b = placed(spark, tree), placed(spark, sharding.grown(tree))
-        moved = [k for k in a if a[k] != b[k]]
-        assert {b[k] for k in moved} == {n}
-        assert abs(len(moved) / len(a) - 1 / (n + 1)) < 0.04
+    keys = [str(i) for i in range(50)]
+    shards = [sharding.place(key_text("id"), sharding.layout(n)).cast("int").alias(f"s{n}") for n in range(1, 102)]
+    rows = []
+    for i in range(0, len(shards), 13):  # a plan of all would be a very large one
+        rows.append(spark.createDataFrame([(k,) for k in keys], "id string").select("id", *shards[i : i + 14]).toPandas().set_index("id"))
+    for part in rows:
+        for a, b in zip(part.columns, part.columns[1:]):
+            n = int(a[1:])
+            moved = part[a] != part[b]
+            assert set(part[b][moved]) <= {n} and part[a].between(0, n - 1).all()
+    for n in (39, 40, 41):  # what a growth foretells comes true
+        a, b = (sharding.assign(frame(spark), shards=m) for m in (n, n + 1))
+        assert Counter(map(tuple, a.select("doc_id", "size", "text_crc32", "grown_shard").collect())) == Counter(map(tuple, b.select("doc_id", "size", "text_crc32", "shard").collect()))
+
+
+def test_shards_have_equal_shares(spark):
+    for n in (1, 3, 8, 13, 41):
+        share = Counter(placed(spark, sharding.layout(n), 5_000).values())
+        assert set(share) == set(range(n))
+        assert all(abs(share[s] - 5_000 / n) < 5 * (5_000 / n) ** 0.5 for s in range(n))
+
+
+def test_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART", 7)
+    got = sharding.assign(frame(spark, [(1, "a", "en", "x", 1)] * 100 + [(1, f"b{i}", "en", "x", 1) for i in range(50)]), shards=3).collect()
+    assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(150))
 
 
 def test_weights_decide_shares_and_only_changed_subtrees_move(spark):
@@ -50,6 +70,8 @@ def test_weights_decide_shares_and_only_changed_subtrees_move(spark):
 def test_no_weight_and_no_rows(spark):
     with pytest.raises(ValueError):
         sharding.place(F.lit("k"), [sharding.Leaf(0, 0, 0, 0.0)])
+    with pytest.raises(ValueError):
+        sharding.place(F.lit("k"), [sharding.Leaf(0, 0, 0, 1.0, vacant=True)])
     assert sharding.assign(frame(spark, [])).count() == 0
 
 
