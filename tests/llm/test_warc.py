@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -40,6 +41,23 @@ def test_resolved(spark):
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"]) for r in rows) == want
 
 
+def test_ids_and_addresses_come_back_whole(spark):
+    big = 9007199254740993
+    pages = [(big, "http://a/<x>y", "one"), (None, "u", "two"), (big + 2, "<http://b/>", "one"), (3, None, "three"), (3, None, "three"), (4, "u", "three"), (4, "u", "three")]
+    path = written(spark, pages, date="2001-02-03T04:05:06Z")
+    rows = warc.read(spark, path).collect()
+    key = lambda r: (str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["uri"])
+    assert sorted(map(key, rows)) == sorted([
+        (str(big), "revisit", str(big + 2), "http://a/<x>y"), ("None", "response", "None", "u"), (str(big + 2), "response", "None", "http://b/"),
+        ("3", "revisit", "4", None), ("3", "revisit", "4", None), ("4", "response", "None", "u"), ("4", "response", "None", "u"),
+    ])
+    text = "".join(r["value"] + "\n" for r in spark.read.text(path).collect())
+    ids = [line for line in text.replace("\r", "").split("\n") if line.startswith("WARC-Record-ID")]
+    assert len(set(ids)) == len(ids) == len(pages) and text.count("WARC-Date: 2001-02-03T04:05:06Z") == len(pages)
+    refers = {line.split(": ", 1)[1] for line in text.replace("\r", "").split("\n") if line.startswith("WARC-Refers-To:")}
+    assert len(refers) == 2 and refers <= {x.split(": ", 1)[1] for x in ids}
+
+
 def test_small_payloads_are_all_responses(spark):
     rows = warc.read(spark, written(spark, least_bytes=5)).collect()
     assert {r["record_type"] for r in rows} == {"response"}
@@ -55,6 +73,22 @@ def archive(spark, *records):
     return {r["page_id"]: (r["payload"] and bytes(r["payload"]), r["error"]) for r in warc.read(spark, path).collect()}
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Records of version 1.0, blocks that hold marks, and a length that takes in the next record."""
+    http = "HTTP/1.1 200 OK\r\n\r\n"
+    inner = f"WARC/1.0\r\n{record(99, http + 'inner')}\r\n\r\n"
+    blocks = {1: http + "plain", 2: http + "x\r\n\r\n" + inner, 3: http + ("\r\n\r\nWARC/" * 300), 4: http, 5: http + "\r\n\r\nWARC/1.1", 6: http + "end"}
+    for name, version in (("a.warc", "1.0"), ("b.warc", "1.1")):
+        text = "".join(f"WARC/{version}\r\n{record(i, b)}\r\n\r\n" for i, b in blocks.items())
+        (tmp_path / name).write_bytes(text.encode())
+    with gzip.open(tmp_path / "c.warc.gz", "wb") as f:
+        f.write(b"".join(f"WARC/1.0\r\n{r}\r\n\r\n".encode() for r in (record(11, http + "a"), record(12, http + "b", length=500), record(13, http + "c"), record(14, "x", length=10**12), record(15, http + "d")))[:-4])
+    got = [(r["page_id"], None if r["payload"] is None else bytes(r["payload"]).decode(), bool(r["error"])) for r in warc.read(spark, str(tmp_path)).collect()]
+    want = 2 * [(i, b.partition("\r\n\r\n")[2], False) for i, b in blocks.items()]
+    want += [(11, "a", False), (12, None, True), (13, "c", False), (14, None, True), (15, "d", False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def record(page, block, kind="response", more="", length=None):
     return f"WARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{page}>\r\nX-Page-ID: {page}\r\n{more}Content-Length: {len(block) if length is None else length}\r\n\r\n{block}"
 
