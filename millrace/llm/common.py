@@ -91,3 +91,12 @@ BROADCAST_ROWS = 300_000
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if it has no more rows than that; df is checkpointed by then."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Bytes of a table, as its rows are told to be, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded_bytes(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if its rows have no more bytes than that together; df is checkpointed by then."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df

@@ -10,13 +10,18 @@ hashes.
 Items are partitioned by their number of shingles. One with q shingles, of
 which ceil(threshold * q) are needed, is sketched by its q - needed + 1 least
 hashes; a document that lacks all of them lacks too many, so no match is lost.
-Each size class has a bound, the largest hash in its sketches: documents look
-up their hashes up to it only. A document with fewer shingles than an item
-needs is no candidate either. Candidates are then verified by the shingles
-themselves.
-
-Sketches, and the list of candidates, are broadcast only after they are counted
-and found below a bound; beyond it the same joins shuffle.
+Each size class has the least number of shingles that its items need and a
+bound, the largest hash in its sketches. A document takes part in the classes
+that need no more shingles than it has, and looks up its hashes up to the
+largest bound of these classes. One lookup serves all classes: a hash above a
+class's bound is in none of its sketches, so that lookups of their own would
+find the same and cost one more row for each class. Candidates are then
+verified by the shingles themselves.
+
+Documents are read once for the candidates, whatever lengths items have, and
+once to verify. Sketches, candidates and the items' shingles are broadcast only
+after their rows or bytes are counted and found below a bound; beyond it the
+same joins shuffle.
 """
 
 from __future__ import annotations
@@ -24,11 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint, free, row_key, table
+from .common import bounded, bounded_bytes, checkpoint, free, row_key, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
 
+
 def words_of(text: str) -> Column:
     """Lower-cased runs of letters and digits."""
     said = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -78,26 +84,23 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresho
     docs other than the two do not matter.
     """
     sketched = checkpoint(sketches(items, shingle, threshold))
-    classes = [r.asDict() for r in sketched.groupBy("n", "class").agg(F.max(F.array_max("sketch")).alias("bound"), F.min("needed").alias("least")).collect()]  # one row for each power of two of shingles
-    rows = docs.select(row_key(docs, key, text).alias("_row"), F.col(key).alias("doc_id"), words_of(text).alias("words"))
-    lookup = bounded(checkpoint(sketched.select("_item", "n", "class", "needed", F.explode("sketch").alias("h"))))
-    candidates = None
-    for n in sorted({c["n"] for c in classes}):
-        own = [c for c in classes if c["n"] == n]
-        # A document of m shingles meets the classes that need no more than m, each up to its bound.
-        m = F.size("hashes")
-        bound = F.greatest(*[F.when(m >= c["least"], c["bound"]) for c in own], F.lit(-(1 << 63)))
-        hashed = rows.select("_row", hashes(F.col("words"), n).alias("hashes")).select("_row", m.alias("m"), bound.alias("bound"), F.explode("hashes").alias("h"))
-        found = hashed.where("h <= bound").join(lookup.where(F.col("n") == n), "h").where("m >= needed").select("_row", "_item")
-        candidates = found if candidates is None else candidates.union(found)
-    if candidates is None:
-        return docs.select(row_key(docs, key, text).alias("_row"), F.col(key).alias("doc_id"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment")).where("false")
-    candidates = checkpoint(candidates.distinct())
-    chosen = rows.join(bounded(candidates), "_row")
+    classes = sketched.groupBy("n", "class").agg(F.max(F.array_max("sketch")).alias("bound"), F.min("needed").alias("least")).collect()  # one row for each power of two of shingles
+    rows = docs.select(row_key(docs, key, text).alias("_row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    if not classes:
+        return rows.select("_row", "doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment")).where("false")
+    lengths = sorted({c["n"] for c in classes})
+    # Hashes of runs of several lengths lie in one array; should two be equal by chance, the pair is verified like any other.
+    every = F.concat(*[hashes(F.col("words"), n) for n in lengths])
+    words = F.size("words")
+    bound = F.greatest(*[F.when(words - c["n"] + 1 >= c["least"], c["bound"]) for c in classes], F.lit(-(1 << 63)))
+    hashed = rows.select("_row", words_of("text").alias("words")).select("_row", words.alias("n_words"), bound.alias("bound"), F.explode(every).alias("h")).where("h <= bound")
+    lookup = bounded(checkpoint(sketched.select("_item", "n", "needed", F.explode("sketch").alias("h"))))
+    candidates = checkpoint(hashed.join(lookup, "h").where("n_words - n + 1 >= needed").select("_row", "_item").distinct())
     whole = sketched.select("_item", "item_id", "n", "size", "needed", "shingles")
-    chosen = chosen.join(bounded(whole), "_item")
-    mine = shingles(F.col("words"), shingle)
-    for n in sorted({c["n"] for c in classes} - {shingle}):
+    whole = bounded_bytes(whole, F.aggregate("shingles", F.lit(64).cast("long"), lambda s, x: s + F.octet_length(x) + 16))
+    chosen = rows.join(bounded(candidates), "_row").withColumn("words", words_of("text")).join(whole, "_item")
+    mine = shingles(F.col("words"), lengths[-1])
+    for n in lengths[:-1]:
         mine = F.when(F.col("n") == n, shingles(F.col("words"), n)).otherwise(mine)
     shared = F.size(F.array_intersect(mine, F.col("shingles")))
     verified = chosen.withColumn("n_shared", shared).where("n_shared >= needed")
@@ -105,7 +108,11 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresho
 
 
 def clean(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that contain no item."""
+    """The rows of docs that contain no item, with the columns of docs.
+
+    Rows without words (null, empty, signs only) stay, as do all rows where no
+    item has a word. Of rows that repeat key and text all go or all stay.
+    """
     row = free(docs, "row")
     dirty = bounded(checkpoint(contained(docs, items, shingle, threshold, key, text).select(F.col("_row").alias(row)).distinct()))
     return docs.withColumn(row, row_key(docs, key, text)).join(dirty, row, "left_anti").drop(row)
@@ -121,9 +128,10 @@ WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lowe
 item_words AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 item_shingles AS (SELECT DISTINCT i, item_id, least(len(w), 5) AS n, unnest([array_to_string(w[k : k + least(len(w), 5) - 1], ' ') for k in range(1, len(w) - least(len(w), 5) + 2)]) AS s FROM item_words WHERE len(w) > 0),
 sizes AS (SELECT i, count(*) AS q FROM item_shingles GROUP BY i),
-doc_shingles AS (SELECT DISTINCT r, doc_id, unnest([array_to_string(w[k : k + 4], ' ') for k in range(1, len(w) - 3)]) AS s FROM words WHERE len(w) >= 5)
+lengths AS (SELECT DISTINCT n FROM item_shingles),
+doc_shingles AS (SELECT DISTINCT r, doc_id, n, unnest([array_to_string(w[k : k + n - 1], ' ') for k in range(1, len(w) - n + 2)]) AS s FROM words, lengths WHERE len(w) >= n)
 SELECT doc_id, item_id, CAST(q AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, round(count(*) / q, 6) AS containment
-FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (i)
+FROM doc_shingles JOIN item_shingles USING (n, s) JOIN sizes USING (i)
 GROUP BY r, doc_id, i, item_id, q HAVING count(*) >= ceil(0.8 * q - 1e-9)
 """
 
