@@ -54,8 +54,6 @@ EDGES_A_FILE = 500_000
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Shingles hashed at a time, so that a very long text needs no more memory.
 BLOCK = 1 << 15
-#: Shingles in a part, on average.
-PART = 16
 #: Words in a shingle of the sets that are compared.
 FIVE = 5
 #: One text in so many is sampled for common shingles, of a table of this many texts or more; fewer are sampled less thinly.
@@ -68,42 +66,17 @@ KEPT = 1 << 13
 EPS = 1e-6
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
-def _packed(ones: np.ndarray, n: np.ndarray | int) -> np.ndarray:
-    """Fingerprints from the counts of set bits among n hashes each."""
-    return np.packbits(2 * ones > n, axis=-1, bitorder="little").view(np.uint64).reshape(-1)
-
-
-def fingerprint_and_parts(text: str | None, words: int = 3, sketch: int = 0) -> tuple[int, list[int]]:
-    """The unsigned fingerprint of one text, 0 without words, and those of `sketch` of its parts."""
+def fingerprint_of(text: str | None, words: int = 3) -> int:
+    """The unsigned fingerprint of one text; 0 without words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0, []
+        return 0
     n = max(1, len(w) - words + 1)
-    ones, parts = np.zeros(64, dtype=np.int64), []
+    ones = np.zeros(64, dtype=np.int64)
     for start in range(0, n, BLOCK):
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(start, min(n, start + BLOCK))], dtype=np.uint64)
-        bits = _bits(hashes)
-        ones += bits.sum(axis=0, dtype=np.int64)
-        if sketch:
-            cuts = np.flatnonzero(hashes % np.uint64(PART) == 0)
-            cuts = np.concatenate([[0], cuts[cuts > 0]])
-            counts = np.diff(np.concatenate([cuts, [len(hashes)]]))
-            parts.append(_packed(np.add.reduceat(bits, cuts, axis=0, dtype=np.int64), counts[:, None]))
-    if not sketch:
-        return int(_packed(ones, n)[0]), []
-    every = np.unique(np.concatenate(parts))
-    mixed = every * np.uint64(0x9E3779B97F4A7C15)
-    least = np.argsort(mixed ^ (mixed >> np.uint64(29)), kind="stable")[:sketch]
-    return int(_packed(ones, n)[0]), every[least].tolist()
-
-
-def fingerprint_of(text: str | None, words: int = 3) -> int:
-    """The unsigned fingerprint of one text; 0 without words."""
-    return fingerprint_and_parts(text, words)[0]
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text") -> DataFrame:
@@ -118,10 +91,23 @@ def fingerprints(docs: DataFrame, words: int, *keep: str, text: str = "text") ->
 
 
 def shingle_hashes(text: str | None, words: int = FIVE) -> np.ndarray:
-    """The hashes of a text's distinct shingles, ascending; of fewer words than a shingle has, all are one."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(w) - words + 1) if w else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 5) for i in range(n)), dtype=np.uint64, count=n))
+    """The hashes of a text's distinct shingles, ascending; of fewer words than a shingle has, all are one.
+
+    Each distinct word is hashed once; a shingle's hash is made of those of its
+    words, one after the other.
+    """
+    number: dict[bytes, int] = {}
+    ids = [number.setdefault(w, len(number)) for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
+    if not ids:
+        return np.zeros(0, dtype=np.uint64)
+    said = np.fromiter((xxhash.xxh64_intdigest(w, 5) for w in number), dtype=np.uint64, count=len(number))[ids]
+    k = min(words, len(ids))
+    n = len(ids) - k + 1
+    out = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        out = (out ^ said[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
 def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -251,19 +237,16 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _shingles(text: str | None, words: int) -> set[bytes]:
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-
-
-_kept_shingles = lru_cache(maxsize=512)(_shingles)
+_kept_hashes = lru_cache(maxsize=512)(shingle_hashes)
 
 
-def resemblance(a: str | None, b: str | None, words: int) -> float:
-    """The Jaccard similarity of two texts' sets of shingles; of fewer words than a shingle has, all are one."""
-    x, y = ((_kept_shingles if len(t or "") < KEPT else _shingles)(t, words) for t in (a, b))
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if x or y else 1.0
+def resemblance(a: str | None, b: str | None, words: int = FIVE) -> float:
+    """The Jaccard similarity of two texts' sets of shingles, by their hashes of 64 bits; of fewer words than a shingle has, all are one."""
+    x, y = ((_kept_hashes if len(t or "") < KEPT else shingle_hashes)(t, words) for t in (a, b))
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return both / (len(x) + len(y) - both)
 
 
 def _meeting(similarity: float, crowd: int):
@@ -341,19 +324,21 @@ def resembling(rows: DataFrame, texts: DataFrame, similarity: float, known: Data
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([resemblance(x, y, FIVE) for x, y in zip(a, b, strict=True)], dtype=float)
+        return pd.Series([resemblance(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs.where("a <> b").distinct())
         wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set"))
-        told = checkpoint(texts.join(bounded(wanted), "row").groupBy("set").agg(F.first("fp").alias("fp"), F.first("text").alias("text")))
         small_batches(rows.sparkSession)
+        # Both joins find the texts dealt out by their sets; they are shuffled once.
+        told = texts.join(bounded(wanted), "row").groupBy("set").agg(F.first("fp").alias("fp"), F.first("text").alias("text"))
         both = pairs.join(told.toDF("a", "fa", "x"), "a").join(told.toDF("b", "fb", "y"), "b").where("fa <> fb")
         return checkpoint(both.where(alike("x", "y") >= similarity).select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).distinct())
 
     pairs = met.where("b IS NOT NULL").select("a", "b")
     crowds = checkpoint(posts.where("common").select(*columns).union(met.where("b IS NULL").select("shingle", "a", "n", "rest")))
-    heads = crowds.groupBy("shingle").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("rest")).alias("i"), "set", "n")).alias("h")).where("m > 1").select("shingle", F.col("h.set").alias("b"), F.col("h.n").alias("bn"))
+    # Kept apart from the join, so that Spark can split a shingle with very many sets over several tasks there.
+    heads = checkpoint(crowds.groupBy("shingle").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("rest")).alias("i"), "set", "n")).alias("h")).where("m > 1").select("shingle", F.col("h.set").alias("b"), F.col("h.n").alias("bn")))
     stars = crowds.join(heads, "shingle").where(F.least("n", "bn") >= similarity * F.greatest("n", "bn") - EPS)
     found = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(verified(pairs.union(stars.select(F.least("set", "b"), F.greatest("set", "b")))))
     found = checkpoint(found)
