@@ -100,8 +100,13 @@ def fit(docs: DataFrame, labels: DataFrame, dictionary_texts: int = DICTIONARY_T
     """The model, from labelled rows that are not held out.
 
     Rows with remainder 0 make the dictionaries, rows with 2 the curve: of each
-    class those with the least hashes of doc_id, up to the bounds. Null and
-    contradicting labels are left out.
+    class those with the least hashes of doc_id, up to the bounds. A text that
+    would pass the bytes of a dictionary is left out, and those after it are
+    looked at still. Null and contradicting labels are left out, as are null
+    texts; an empty text is a point of the curve and nothing to a dictionary.
+    A doc_id that stands in several rows counts once, with the text of least
+    digest. Without labels, or without documents, every score is the share of
+    good labels, or 0.5.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     known = known.where("quality = other").withColumn("third", third()).withColumn("order", F.xxhash64("doc_id"))
@@ -110,16 +115,19 @@ def fit(docs: DataFrame, labels: DataFrame, dictionary_texts: int = DICTIONARY_T
         for quality in (0, 1):
             part = known.where((F.col("third") == remainder) & (F.col("quality") == quality)).orderBy("order", "doc_id").limit(most)
             chosen = part if chosen is None else chosen.union(part)
-    # Four bounded lists of numbers are broadcast.
+    # Four bounded lists of numbers are broadcast; a row for each of them is what is kept of the documents.
     chosen = F.broadcast(checkpoint(chosen.select("doc_id", "quality", "third", "order")))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text IS NOT NULL")
-    train = rows.where("third = 0").withColumn("bytes", F.octet_length("text"))
-    # Whole texts, in the order of their hashes, as long as they stay within the bound.
-    sizes = train.select("quality", "order", "doc_id", "bytes").toPandas().sort_values(["order", "doc_id", "bytes"])
-    inside = sizes[sizes.groupby("quality")["bytes"].cumsum() <= dictionary_bytes]
-    keep = rows.sparkSession.createDataFrame(inside[["doc_id"]].drop_duplicates().astype("int64"), "doc_id long")
-    got = train.join(F.broadcast(keep), "doc_id").select("quality", "order", "doc_id", "text").toPandas().sort_values(["order", "doc_id", "text"])
-    good, bad = (dictionary(got.loc[got["quality"] == q, "text"].tolist()) for q in (1, 0))
+    rows = checkpoint(rows.groupBy("doc_id", "quality", "third", "order").agg(F.min_by("text", F.md5("text")).alias("text")))
+    train = rows.where("third = 0").select("quality", "order", "doc_id", F.octet_length("text").alias("bytes"), "text")
+    left, kept = {0: dictionary_bytes, 1: dictionary_bytes}, []
+    for r in train.select("quality", "order", "doc_id", "bytes").orderBy("order", "doc_id").collect():
+        if r["bytes"] <= left[r["quality"]]:
+            left[r["quality"]] -= r["bytes"]
+            kept.append(r["doc_id"])
+    keep = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in kept], rows.select("doc_id").schema))
+    got = train.join(keep, "doc_id").orderBy("order", "doc_id").select("quality", "text").collect()
+    good, bad = (dictionary([r["text"] for r in got if r["quality"] == q]) for q in (1, 0))
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")

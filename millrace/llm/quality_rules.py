@@ -108,12 +108,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbdt.Trees:
 
     Learns from `sample` labelled rows at most, those with the least hashes of
     their doc_id; labels that are null or contradict each other are left out.
-    Only their statistics come to the driver (14 numbers a row).
+    A doc_id that stands in several rows counts once, with the text of least
+    digest; a null text is an empty one. Only their statistics come to the
+    driver (14 numbers for each of the sample). Without labels, or without
+    documents, the trees say the same of every document.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
     chosen = known.where("quality = other").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", "quality")
     # At most `sample` pairs of numbers are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(checkpoint(chosen)), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(checkpoint(chosen)), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5("text")).alias("text"))
     got = statistics(rows, "doc_id", "quality").select("doc_id", "quality", "stats.*").toPandas().sort_values(["doc_id", *BASE])
     return gbdt.train(features(got), (got["quality"] == 0).to_numpy(dtype=float), np.array(list(FEATURES.values())))
 
@@ -136,7 +140,11 @@ def judge(docs: DataFrame, trees: gbdt.Trees, *keep: str, text: str = "text", re
 
 
 def kept_rows(docs: DataFrame, trees: gbdt.Trees, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of docs that judge() keeps, with the columns of docs."""
+    """The rows of docs that judge() keeps, with the columns of docs.
+
+    Empty and null texts go, having fewer than 50 words; repeated rows all stay
+    or all go; null ids do not matter.
+    """
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")

@@ -40,6 +40,8 @@ SRI = re.compile(r"sha(?:256|384|512)-[A-Za-z0-9+/]+={0,2}")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Words or numbers joined by signs, each of one kind of character: names, paths, dates, versions.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14}))*[+/_=-]*")
+#: Names in camel case: words of three letters or more.
+CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
 
 @lru_cache(maxsize=2)
@@ -52,10 +54,10 @@ def encoding(path: str, pattern: str):
 
 
 def looks_random(run: str, enc, ratio: float = RATIO) -> bool:
-    """Whether a run has letters and digits, is no known digest or identifier, and takes a token for less than `ratio` characters."""
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+    """Whether a run is no known digest or identifier and takes a token for less than `ratio` characters; numbers alone are identifiers."""
+    if not re.search("[A-Za-z]", run):
         return False
-    if DIGEST.fullmatch(run) or SRI.fullmatch(run) or UUID.fullmatch(run.strip("-_=/+")) or IDENTIFIER.fullmatch(run):
+    if DIGEST.fullmatch(run) or SRI.fullmatch(run) or UUID.fullmatch(run.strip("-_=/+")) or IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
         return False
     # The encoder takes long time for one long run without breaks; pieces of 256 characters have the same ratio but for their ends.
     tokens = sum(len(enc.encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))

@@ -1,10 +1,14 @@
 """Operators 5 and 10: statistics against plain Python, models by held-out accuracy."""
 
+import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from millrace.llm import compression_quality as cq
@@ -81,6 +85,79 @@ def test_monotone():
     assert ((trees.probability(x) > 0.5) == y).mean() > 0.85
 
 
+def walked(trees, x):
+    """The probability of one row, by going down each tree from its root."""
+    def below(at):
+        if trees.feature[at] < 0:
+            return trees.value[at]
+        return below(trees.left[at] if x[trees.feature[at]] <= trees.threshold[at] else trees.right[at])
+
+    return 1 / (1 + math.exp(-(trees.base + sum(below(r) for r in trees.roots))))
+
+
+def test_node_arrays_say_what_the_trees_say(spark):
+    rows, labels = corpus(300)
+    trees = qr.fit(frame(spark, rows), labels_of(spark, labels))
+    assert len(trees.roots) == 60 and (trees.feature >= 0).any()
+    got = {r["doc_id"]: r["bad"] for r in qr.judge(frame(spark, rows), trees, "doc_id").collect()}
+    for i, t, *_ in rows:
+        x = qr.features(pd.DataFrame([qr.statistics_of(t)], columns=[*qr.BASE, *qr.MORE]))[0]
+        assert abs(got[i] - walked(trees, x)) < 1e-9
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    rows, labels = corpus(60)
+    again = [(4, f"{t} again", lang, source, n) for _, t, lang, source, n in rows[4:5]] * 50
+    for fit in (qr.fit, cq.fit):
+        a, b = (fit(frame(spark, x), labels_of(spark, labels)) for x in (rows + again[:1], again + rows + rows))
+        assert repr(a) == repr(b)
+
+
+def test_ids_may_be_texts(spark):
+    rows, labels = corpus(120)
+    docs = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    named = labels_of(spark, labels).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert cq.score(docs, cq.fit(docs, named)).count() == qr.judge(docs, qr.fit(docs, named), "doc_id").count() == len(rows)
+
+
+def test_compression_by_force(spark):
+    """Sample, dictionaries, block sizes, curve and score, each found anew."""
+    rows, labels = corpus(400)
+    rows[8] = (8, "".join(prose(400, k) for k in range(30)), "en", "a", 0)  # more than one block, and than is left
+    budget = 20_000
+    model = cq.fit(frame(spark, rows), labels_of(spark, labels), dictionary_texts=40, dictionary_bytes=budget, curve_texts=50)
+    text, order = {i: t for i, t, *_ in rows}, lambda i: np.uint64(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)).astype(np.int64)
+    of = lambda q, third: sorted((i for i, x, _ in labels if x == q and zlib.crc32(str(i).encode()) % 3 == third), key=order)
+    for q, have in ((1, model.good), (0, model.bad)):
+        left, kept = budget, []
+        for i in of(q, 0)[:40]:
+            if len(text[i]) <= left:
+                left -= len(text[i])
+                kept.append(text[i])
+        assert cq.dictionary(kept) == have
+
+    def size(t, raw):
+        blocks = [t[i : i + cq.BLOCK] for i in range(0, len(t), cq.BLOCK)]
+        d = zstandard.ZstdCompressionDict(raw)
+        return sum(len(zstandard.ZstdCompressor(level=cq.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(x)) for x in blocks)
+
+    x = {i: (size(t.encode(), model.bad) - size(t.encode(), model.good)) / (len(t) + 64) for i, t in text.items()}
+    for r in cq.score(frame(spark, rows), model).collect():
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.slope * x[r["doc_id"]] + model.offset)))) < 1e-9
+    points = [(x[i], q) for q in (0, 1) for i in of(q, 2)[:50]]
+    share = len(of(1, 2)) / (len(of(1, 2)) + len(of(0, 2)))
+    n = [sum(q == k for _, q in points) for k in (0, 1)]
+    scale = np.std([v for v, _ in points])
+
+    def loss(slope, offset):
+        p = lambda v: 1 / (1 + math.exp(-(slope * v + offset)))
+        every = sum((share / n[1] if q else (1 - share) / n[0]) * len(points) * -math.log(p(v) if q else 1 - p(v)) for v, q in points)
+        return every + 0.5e-2 * ((slope * scale) ** 2 + offset**2)
+
+    least = loss(model.slope, model.offset)
+    assert all(loss(model.slope + a, model.offset + b) >= least - 1e-9 for a in (-0.1, 0, 0.1) for b in (-0.01, 0, 0.01))
+
+
 def test_compression_on_held_out_documents(spark):
     rows, labels = corpus()
     docs = frame(spark, rows + [(None, "a b", "en", "a", 0), (9000, None, "en", "a", 0), (9001, "", "en", "a", 0), (9002, prose(9, 1), "en", "a", 0), (9002, prose(9, 1), "en", "a", 0)])
