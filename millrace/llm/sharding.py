@@ -32,8 +32,8 @@ from .common import checkpoint, key_text, table, uniform
 BUCKET_DIGITS = 3
 #: Equal rows that are numbered at a time.
 PART = 10_000
-#: Draws of a row in one region, at most. A row that meets none but vacant places in all of them is one in 5,000 where one place of eight is filled.
-DRAWS = 64
+#: Draws of a row in one region, at most. Of two shards in a region of eight places, one row in 10,000 meets neither in all of them.
+DRAWS = 32
 
 
 @dataclass(frozen=True)
@@ -82,22 +82,24 @@ def _draw(key: Column, region: int, weight: float) -> Column:
     return -F.log(uniform(key, F.lit("region"), F.lit(region).cast("string"))) / F.lit(float(weight))
 
 
-def _against(key: Column, tree: list[Leaf], weight: float, shard: Column, limit: Column) -> tuple[Column, Column]:
-    """The shard and draw of a key, where it has `shard` by the draw `limit` so far, and a region partly vacant is looked at."""
+def _against(key: Column, tree: list[Leaf], weight: float, have: Column) -> Column:
+    """A struct of draw and shard: `have`, such a struct, or what a region partly vacant gives if it draws less."""
     region = tree[0].region
     vacant = F.array(*[F.lit(x.shard) for x in tree if x.vacant])
 
-    def step(acc: Column, nth: Column) -> Column:
-        again = F.when(nth == 1, key).otherwise(F.concat_ws("|", key, nth.cast("string")))
-        drawn = acc["draw"] + _draw(again, region, weight)
-        came = _descend(again, F.lit(region), tree)
-        came = F.when((drawn < limit) & ~F.array_contains(vacant, came), came)
-        return F.when(acc["shard"].isNotNull() | (acc["draw"] >= limit), acc).otherwise(F.struct(drawn.alias("draw"), came.alias("shard")))
+    def looked_at(h: Column) -> Column:
+        def step(acc: Column, nth: Column) -> Column:
+            again = F.when(nth == 1, key).otherwise(F.concat_ws("|", key, nth.cast("string")))
+            drawn = acc["draw"] + _draw(again, region, weight)
+            came = _descend(again, F.lit(region), tree)
+            came = F.when((drawn < h["draw"]) & ~F.array_contains(vacant, came), came)
+            return F.when(acc["shard"].isNotNull() | (acc["draw"] >= h["draw"]), acc).otherwise(F.struct(drawn.alias("draw"), came.alias("shard")))
 
-    came = F.aggregate(F.sequence(F.lit(1), F.lit(DRAWS)), F.struct(F.lit(0.0).alias("draw"), F.lit(None).cast("int").alias("shard")), step)
-    # Looked at twice; an array of one keeps it from being drawn twice.
-    both = F.transform(F.array(came), lambda c: F.when(c["shard"].isNull(), F.struct(limit.alias("draw"), shard.alias("shard"))).otherwise(c))[0]
-    return both["shard"], both["draw"]
+        came = F.aggregate(F.sequence(F.lit(1), F.lit(DRAWS)), F.struct(F.lit(0.0).alias("draw"), F.lit(None).cast("int").alias("shard")), step)
+        return F.transform(F.array(came), lambda c: F.when(c["shard"].isNull(), h).otherwise(c))[0]
+
+    # What is looked at again and again stands in an array of one, and so is drawn once.
+    return F.transform(F.array(have), looked_at)[0]
 
 
 def place(key: Column, tree: list[Leaf]) -> Column:
@@ -113,13 +115,14 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     weights = _sum(tree, None, "region")[0]
     partly = sorted({x.region for x in tree if x.vacant} & {x.region for x in tree if not x.vacant})
     whole = sorted({x.region for x in tree} - {x.region for x in tree if x.vacant})
-    first = min(x.shard for x in tree if not x.vacant)
-    best = F.array_min(F.array(*[F.struct(_draw(key, r, weights[r]).alias("draw"), F.lit(r).alias("region")) for r in whole])) if whole else None
-    shard = _descend(key, best["region"], [x for x in tree if x.region in whole]) if whole else F.lit(first)
-    limit = best["draw"] if whole else F.lit(float("inf"))
+    have = F.struct(F.lit(float("inf")).alias("draw"), F.lit(min(x.shard for x in tree if not x.vacant)).alias("shard"))
+    if whole:
+        best = F.array_min(F.array(*[F.struct(_draw(key, r, weights[r]).alias("draw"), F.lit(r).alias("region")) for r in whole]))
+        within = [x for x in tree if x.region in whole]
+        have = F.transform(F.array(best), lambda b: F.struct(b["draw"].alias("draw"), _descend(key, b["region"], within).alias("shard")))[0]
     for r in partly:  # one, where shards fill the places in order
-        shard, limit = _against(key, [x for x in tree if x.region == r], weights[r], shard, limit)
-    return shard
+        have = _against(key, [x for x in tree if x.region == r], weights[r], have)
+    return have["shard"]
 
 
 def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
