@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.arguments import items
 from . import jsonx
 from . import text as T
+from .jsonx import items
 
 #: The keys whose values are masked, and the form of a catalog key.
 EXTERNAL = ["tmdbId", "tvdbId"]
@@ -66,7 +70,21 @@ def catalog_keys(record: Column) -> Column:
 
 
 def tool_schema_digest(tools: Column) -> Column:
-    """SHA-256 of tool declarations with Name, Description, Parameters in this order and the keys sorted below Parameters."""
-    quoted = lambda t, k: F.to_json(F.try_variant_get(t, f"$.{k}", "variant"))
-    each = F.transform(items(jsonx.variant(tools), "$"), lambda t: F.concat(F.lit('{"Name":'), quoted(t, "Name"), F.lit(',"Description":'), quoted(t, "Description"), F.lit(',"Parameters":'), quoted(t, "Parameters"), F.lit("}")))
-    return T.sha256(F.concat(F.lit("["), F.array_join(each, ","), F.lit("]")))
+    """SHA-256 of tool declarations with Name, Description, Parameters in this order and the keys sorted below Parameters.
+
+    Numbers stay as they were written. Null unless it is a list of objects with
+    these keys.
+    """
+
+    def one(t: str | None) -> str | None:
+        try:
+            said = [{k: tool[k] for k in ("Name", "Description")} | {"Parameters": json.loads(json.dumps(tool["Parameters"], sort_keys=True))} for tool in json.loads(t)]
+        except (*jsonx.NO_JSON, TypeError, KeyError):
+            return None
+        return hashlib.sha256(json.dumps(said, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return run(tools)

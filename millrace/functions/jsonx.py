@@ -7,7 +7,7 @@ access here asks for the value's own type first.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,13 +61,22 @@ def canonical(c: Column) -> Column:
     return F.to_json(F.try_parse_json(c))
 
 
+def items(v: Column, path: str) -> Column:
+    """An array of a variant as an array of variants; null if it is none."""
+    return F.when(kind(v, path) == "ARRAY", F.try_variant_get(v, path, "array<variant>"))
+
+
+#: What json raises for a text that is none, or nested deeper than Python's stack.
+NO_JSON = (ValueError, RecursionError)
+
+
 def canonical_bytes(c: Column, ascii_only: bool = False) -> Column:
     """JSON text with sorted keys and no spaces, numbers as they were written: for digests. Null if it is no JSON."""
 
     def one(t: str | None) -> str | None:
         try:
             return None if t is None else json.dumps(json.loads(t), ensure_ascii=ascii_only, sort_keys=True, separators=(",", ":"))
-        except ValueError:
+        except NO_JSON:
             return None
 
     @F.pandas_udf("string")
@@ -95,7 +104,7 @@ def leaves(value: object, keys: frozenset[str], key: str | None = None, protecte
             if not p:
                 try:
                     inner = json.loads(v)
-                except ValueError:
+                except NO_JSON:
                     continue
                 if isinstance(inner, (dict, list)):
                     todo.append((inner, None, False, f"{at}~"))
@@ -110,7 +119,7 @@ def json_leaves(c: Column, protected_keys: list[str]) -> Column:
         def one(t: str | None) -> list[dict]:
             try:
                 return [] if t is None else [dict(zip(("path", "key", "value", "protected"), x, strict=True)) for x in leaves(json.loads(t), names)]
-            except ValueError:
+            except NO_JSON:
                 return []
 
         return texts.map(one)
@@ -119,13 +128,25 @@ def json_leaves(c: Column, protected_keys: list[str]) -> Column:
 
 
 def _parsed(t: str | None) -> object:
-    """The value of a JSON text; None if it is none."""
+    """The value of a JSON text; None if it is none, or nested too deep to be read."""
     try:
         return None if t is None else json.loads(t)
-    except ValueError:
+    except NO_JSON:
         return None
 
 
+def guarded(f: Callable[[object], object], otherwise: object) -> Callable[[object], object]:
+    """f, or `otherwise` for a value nested too deep for it."""
+
+    def run(v: object) -> object:
+        try:
+            return f(v)
+        except RecursionError:
+            return otherwise
+
+    return run
+
+
 def masked(c: Column, names: list[str], mask: str) -> Column:
     """JSON text with the values of these keys replaced, at any depth; canonical form. Null if it is no JSON."""
     hidden = frozenset(names)
@@ -137,7 +158,7 @@ def masked(c: Column, names: list[str], mask: str) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_parsed).map(lambda v: None if v is None else json.dumps(rewrite(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+        return texts.map(_parsed).map(guarded(lambda v: None if v is None else json.dumps(rewrite(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")), None))
 
     return run(c)
 
@@ -153,6 +174,6 @@ def count_keys(c: Column, names: list[str]) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(_parsed).map(count).astype("int64")
+        return texts.map(_parsed).map(guarded(count, 0)).astype("int64")
 
     return run(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.arguments import items
+from .jsonx import items
 from . import jsonx
 
 ROLES = ["system", "user", "assistant", "tool"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,15 +27,48 @@ def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def casefold(c: Column) -> Column:
+    """The text as case-insensitive comparison wants it: ß is ss. Null stays null.
+
+    lower() does that for ASCII; texts with other letters go through Python.
+    """
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else t.casefold())
+
+    return F.when(F.regexp_like(c, F.lit(r"\A\p{ASCII}*\z")), F.lower(c)).otherwise(folded(c))
+
+
+def fold(c: Column) -> Column:
+    """casefold() without Python, for use within lambdas: the same but for dotless i, Cherokee and letters too young for Python's tables."""
+    upper = F.translate(F.upper(c), "ẞ", "ß")  # also keeps the two conversions apart, of which one would be left out
+    return F.replace(F.translate(F.lower(upper), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+
+
+def _joined(c: Column) -> Column:
+    """Runs of Unicode white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
 def normalize(c: Column) -> Column:
     """Lower case, runs of Unicode white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    return _joined(F.lower(c))
+
+
+def normalize_folded(c: Column) -> Column:
+    """As normalize(), but with the case folded: what digests of a denylist are made of."""
+    return _joined(casefold(c))
 
 
 def fingerprint(c: Column) -> Column:
     return sha256(normalize(c))
 
 
+def folded_fingerprint(c: Column) -> Column:
+    return sha256(normalize_folded(c))
+
+
 def tokens(c: Column) -> Column:
     """The set of lower-cased runs of a-z and 0-9, a plural s taken off those of four and more letters."""
     parts = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")

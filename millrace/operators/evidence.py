@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import text as T
 from ..functions.numbers import money, seconds, within
-from .arguments import items
+from ..functions.jsonx import items
+from ..sources.tables import numbered
 from .rules import Rule, first_reason
 
 
@@ -92,7 +93,7 @@ def contract_reason(bundle: Column, keys: list[str]) -> Column:
     v = jsonx.variant(bundle)
     tools = F.to_json(F.try_variant_get(v, "$.tools", "variant"))
     return first_reason([
-        Rule("contract fields drifted", jsonx.closed(bundle, keys)),
+        Rule("the contract has other fields", jsonx.closed(bundle, keys)),
         Rule("system prompt digest differs", T.sha256(jsonx.string(v, "$.systemPrompt")) == jsonx.string(v, "$.systemPromptSha256")),
         Rule("tool schema digest differs", tool_schema_digest(tools) == jsonx.string(v, "$.toolSchemaSha256")),
     ])
@@ -124,10 +125,8 @@ def first_divergence(results: DataFrame, classes: dict[str, Column], key: str) -
 
 
 def ordinal_coverage(found: DataFrame, expected: DataFrame, key: str, order: str) -> DataFrame:
-    """position, found, expected: places where two lists of keys, each in its own order, differ. For manifests: each list passes one window."""
-    w = Window.orderBy(order)
-    a = found.select(F.row_number().over(w).alias("position"), F.col(key).alias("found"))
-    b = expected.select(F.row_number().over(w).alias("position"), F.col(key).alias("expected"))
+    """position, found, expected: places where two lists of keys, each in its own order, differ."""
+    a, b = (numbered(df.select(order, F.col(key).alias(name)), "position", order).select("position", name) for df, name in ((found, "found"), (expected, "expected")))
     return a.join(b, "position", "full_outer").where(~F.col("found").eqNullSafe(F.col("expected")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import checkpoint
 
 #: Rows of a denylist that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -42,11 +43,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _inner_runs(words: Column, n: int, skip: int) -> Column:
-    """Hashes of each n words in a row, without the first and last `skip` words."""
-    last = F.size(words) - n - skip
+#: Characters in a row by which items of few words are looked up; fewer if an item has fewer.
+CHARACTERS = 8
+
+
+def _runs(units: Column, n: int, skip: int = 0) -> Column:
+    """Hashes of each n units (words or characters) in a row, without the first and last `skip` units."""
+    last = F.size(units) - n - skip
     starts = F.when(last >= skip, F.sequence(F.lit(skip), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.array(words), lambda w: F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))[0]
+    return F.transform(F.array(units), lambda w: F.transform(starts, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)])))[0]
 
 
 def containing(docs: DataFrame, denied: DataFrame, doc: str, item: str, text: str = "text", n: int = 3) -> DataFrame:
@@ -54,26 +59,34 @@ def containing(docs: DataFrame, denied: DataFrame, doc: str, item: str, text: st
 
     A substring of n + 2 or more blank-separated words has its inner words
     whole, so the least hash of n inner words in a row is looked up among the
-    document's; what matches is compared. Items of fewer words are compared
-    with every document: they must be few (they are broadcast, and counted).
+    document's. An item of fewer words is looked up by the least hash of its
+    runs of CHARACTERS characters, one of fewer characters by all of it. What is
+    found is compared; only then do texts take part. Null and empty items are
+    in no pair.
     """
-    cut = lambda df: df.withColumn("_words", F.split(text, " "))
-    items = denied.select(F.col(item), F.col(text).alias("_wanted"), F.split(text, " ").alias("_words"))
-    items = items.select(item, "_wanted", F.array_min(_inner_runs(F.col("_words"), n, 1)).alias("_h"))
-    keyed = cut(docs).select(doc, text, F.explode(F.array_distinct(_inner_runs(F.col("_words"), n, 0))).alias("_h"))
-    long = keyed.join(bounded(items.where("_h IS NOT NULL")), "_h")
-    short = items.where("_h IS NULL AND _wanted IS NOT NULL")
-    found = long.where(F.col(text).contains(F.col("_wanted"))).select(doc, item)
-    if short.limit(1).count():
-        found = found.union(docs.join(F.broadcast(short), F.col(text).contains(F.col("_wanted"))).select(doc, item))
-    return found.distinct()
+    words, letters = F.split(text, " "), F.split(text, "")
+    items = denied.where(F.length(text) > 0).select(F.col(item), F.col(text).alias("_wanted"), words.alias("_words"), letters.alias("_letters"))
+    kind = F.when(F.size("_words") >= n + 2, 0).otherwise(F.least(F.size("_letters"), F.lit(CHARACTERS)))
+    least = F.when(F.col("_kind") == 0, F.array_min(_runs(F.col("_words"), n, 1)))
+    for k in range(1, CHARACTERS + 1):
+        least = least.when(F.col("_kind") == k, F.array_min(_runs(F.col("_letters"), k)))
+    items = checkpoint(items.withColumn("_kind", kind).select(item, "_wanted", "_kind", least.alias("_h")))
+    kinds = [r[0] for r in items.select("_kind").distinct().collect()]  # nine at most
+    if not kinds:
+        return docs.select(doc, F.lit(None).cast(denied.schema[item].dataType).alias(item)).where("false")
+    every = F.concat(*[_runs(F.col("_words"), n) if k == 0 else _runs(F.col("_letters"), k) for k in kinds])
+    keyed = docs.select(doc, words.alias("_words"), letters.alias("_letters")).select(doc, F.explode(F.array_distinct(every)).alias("_h"))
+    met = checkpoint(keyed.join(bounded(items.select(item, "_h")), "_h").select(doc, item).distinct())
+    both = docs.select(doc, text).join(bounded(met), doc).join(items.select(item, "_wanted"), item)
+    return both.where(F.col(text).contains(F.col("_wanted"))).select(doc, item).distinct()
 
 
 def denied_leaves(leaves: DataFrame, exact: DataFrame, normalized: DataFrame, least_length: int) -> DataFrame:
     """The leaves (row, value, protected) whose digest, as they are or normalized, a denylist has: row, value, how.
 
-    exact and normalized have a column digest.
+    exact and normalized have a column digest; normalized texts are case-folded
+    and have single spaces.
     """
     long = leaves.where(F.col("protected") & (F.length(F.trim("value")) >= least_length))
     by = lambda c, deny, how: long.withColumn("digest", c).join(bounded(deny.select("digest").distinct()), "digest", "left_semi").select("row", "value", F.lit(how).alias("how"))
-    return by(T.sha256(F.col("value")), exact, "exact").union(by(T.fingerprint(F.col("value")), normalized, "normalized"))
+    return by(T.sha256(F.col("value")), exact, "exact").union(by(T.folded_fingerprint(F.col("value")), normalized, "normalized"))

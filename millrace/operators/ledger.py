@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY, TERM, ceil_hour, seconds, within
+from ..sources.tables import RANGE, before, ranged
 
 
 def reconcile(buckets: DataFrame, by: str, components: list[str], total: str, tolerance: str) -> DataFrame:
@@ -17,22 +18,19 @@ def reconcile(buckets: DataFrame, by: str, components: list[str], total: str, to
     return sums.withColumn("balanced", within(parts, F.col(total), tolerance))
 
 
-def running_cap(spend: DataFrame, order: str, amount: str, cap: str, buckets: int = 64) -> DataFrame:
+def running_cap(spend: DataFrame, order: str, amount: str, cap: str) -> DataFrame:
     """order, running: the first row at which the running sum exceeds the cap; no row if it never does.
 
     Sums of ranges of the order find the range in which the cap is passed; only
     its rows are then added up one by one. So no task sorts the whole table.
     """
-    ranges = spend.select(F.col(order), F.col(amount)).groupBy(F.floor(F.col(order) / F.lit(buckets)).alias("b")).agg(F.sum(amount).alias("s"))
-    top = ranges.groupBy(F.floor(F.col("b") / F.lit(buckets)).alias("t")).agg(F.sum("s").alias("s"))
     limit = F.lit(cap).cast(MONEY)
-    before = lambda w: F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(MONEY))
-    t = top.withColumn("start", before(Window.orderBy("t"))).where(F.col("start") + F.col("s") > limit).agg(F.min(F.struct("t", "start")).alias("x")).select("x.t", "x.start")
-    r = ranges.withColumn("t", F.floor(F.col("b") / F.lit(buckets))).join(F.broadcast(t), "t").withColumn("begun", F.col("start") + before(Window.orderBy("b")))
-    r = r.where(F.col("begun") + F.col("s") > limit).agg(F.min(F.struct("b", "begun")).alias("x")).select("x.b", "x.begun")
-    rows = spend.withColumn("b", F.floor(F.col(order) / F.lit(buckets))).join(F.broadcast(r), "b")
-    running = F.col("begun") + F.sum(amount).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(order, running.cast(MONEY).alias("running")).where(F.col("running") > limit).agg(F.min(F.struct(order, "running")).alias("x")).select(F.col(f"x.{order}").alias(order), F.col("x.running").alias("running")).where(F.col(order).isNotNull())
+    rows = ranged(spend.select(order, amount), order)
+    passed = before(rows, F.col(amount)).where((F.col("start") + F.col("s")).cast(MONEY) > limit).agg(F.min(F.struct(RANGE, "start")).alias("x")).select(f"x.{RANGE}", "x.start")
+    within = rows.join(F.broadcast(passed), RANGE)  # one row
+    running = F.col("start") + F.sum(amount).over(Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    first = within.select(order, running.cast(MONEY).alias("running")).where(F.col("running") > limit).agg(F.min(F.struct(order, "running")).alias("x"))
+    return first.select(F.col(f"x.{order}").alias(order), F.col("x.running").alias("running")).where(F.col(order).isNotNull())
 
 
 def duration_cost(start: Column, end: Column, rate: str) -> Column:

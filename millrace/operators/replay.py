@@ -9,13 +9,14 @@ shuffle by case.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
+from ..functions.jsonx import items
+from ..sources.tables import checkpoint
 from . import arguments as A
 
 #: Axes on which a case must recover, and keys that claim an authority a proposal does not have.
@@ -30,7 +31,7 @@ LOG = "case_id string, call_number int, turn string, latency long"
 def turns(log: DataFrame) -> DataFrame:
     """The log with each turn's kind (calls, content, other), its one call's arguments, and whether they are valid."""
     t = jsonx.variant(F.col("turn"))
-    made = A.items(t, "$.toolCalls")
+    made = items(t, "$.toolCalls")
     call = F.get(made, F.lit(0))
     keys = jsonx.keys(F.col("turn"))
     kind = (
@@ -46,7 +47,7 @@ def turns(log: DataFrame) -> DataFrame:
 
 def keys_of(result: Column) -> Column:
     """Identities media:id of the candidates in a result (JSON text)."""
-    c = A.items(jsonx.variant(result), "$.candidates")
+    c = items(jsonx.variant(result), "$.candidates")
     return F.coalesce(F.transform(c, lambda x: F.concat_ws(":", jsonx.string(x, "$.mediaType"), jsonx.integer(x, "$.tmdbId").cast("string"))), F.array().cast("array<string>"))
 
 
@@ -86,10 +87,11 @@ def played(cases: DataFrame, log: DataFrame, max_calls: int = 5, valid: Callable
 def score(cases: DataFrame, log: DataFrame, max_calls: int = 5) -> DataFrame:
     """One row a case: its flags, counters and hard failures; the input of scoring.summary."""
     p = played(cases, log, max_calls)
-    final = jsonx.variant(F.col("final"))
+    p = checkpoint(p.withColumn("_v", jsonx.variant(F.col("final"))))  # folded and parsed once
+    final = F.col("_v")
     schema_valid = A.proposal_valid(final)
     surfaced = F.flatten(F.transform(F.slice("script", F.lit(1), F.col("step")), lambda x: keys_of(x["result"])))
-    chosen = F.when(schema_valid, F.transform(A.items(final, "$.picks"), lambda x: F.concat_ws(":", jsonx.string(x, "$.mediaType"), jsonx.integer(x, "$.tmdbId").cast("string")))).otherwise(F.array().cast("array<string>"))
+    chosen = F.when(schema_valid, F.transform(items(final, "$.picks"), lambda x: F.concat_ws(":", jsonx.string(x, "$.mediaType"), jsonx.integer(x, "$.tmdbId").cast("string")))).otherwise(F.array().cast("array<string>"))
     p = p.withColumn("schema_valid", schema_valid).withColumn("surfaced", surfaced).withColumn("chosen", chosen)
     p = p.withColumn("unsupported", F.size(F.filter("chosen", lambda x: ~F.array_contains(F.col("surfaced"), x))))
     n_script, n = F.size("script"), F.size("chosen")
@@ -135,16 +137,17 @@ def score_dated(cases: DataFrame, log: DataFrame, max_calls: int = 3, accepts: C
     asked = calls.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("call_number", "m"))).alias("asked"))
     p = p.join(asked, "case_id", "left")
     taken = F.slice("script", F.lit(1), F.col("step"))
+    p = checkpoint(p)
     p = p.withColumn("payloads", F.transform(taken, lambda x: payload_state(x["result"]))).withColumn("final_v", jsonx.variant(F.col("final")))
     p = p.withColumn("keys", F.flatten(F.transform("payloads", lambda x: x["keys"]))).withColumn("injected", F.exists("payloads", lambda x: x["injected"])).withColumn("observed", F.exists("payloads", lambda x: x["observed"]))
     p = p.withColumn("meaning", F.when(F.col("step") > 0, F.get(F.transform("asked", lambda x: x["m"]), F.lit(0))))
     same = F.forall(F.slice("asked", F.lit(1), F.greatest("step", F.lit(1))), lambda x: x["m"] == F.col("meaning"))
     n_script, v = F.size("script"), F.col("final_v")
     p = p.withColumn("correct_operation", F.col("calls_match") & (F.col("step") == n_script) & (F.col("tool_calls") == n_script) & F.coalesce(same, n_script == 0))
-    chosen = F.filter(F.transform(A.items(v, "$.picks"), lambda x: jsonx.string(x, "$.key")), lambda x: x.isNotNull())
+    chosen = F.filter(F.transform(items(v, "$.picks"), lambda x: jsonx.string(x, "$.key")), lambda x: x.isNotNull())
     p = p.withColumn("chosen", F.coalesce(chosen, F.array().cast("array<string>")))
     told = F.to_json(F.try_variant_get(v, "$.dateMeaning", "variant"))
-    valid = A.dated_proposal_valid(v) & (told == F.col("meaning")) & (F.size(F.array_except("chosen", "keys")) == 0) & (F.size("chosen") == F.size(A.items(v, "$.picks")))
+    valid = A.dated_proposal_valid(v) & (told == F.col("meaning")) & (F.size(F.array_except("chosen", "keys")) == 0) & (F.size("chosen") == F.size(items(v, "$.picks")))
     p = p.withColumn("schema_valid", F.coalesce(valid, F.lit(False)))
     p = p.withColumn("date_accuracy", F.col("schema_valid") & F.coalesce(told == jsonx.canonical(F.col("date_meaning")), F.lit(False)))
     p = p.withColumn("unsupported", F.size(F.filter("chosen", lambda x: ~F.array_contains(F.col("keys"), x))))
@@ -165,36 +168,3 @@ def score_dated(cases: DataFrame, log: DataFrame, max_calls: int = 3, accepts: C
         "case_id", "axis", "grounded", "correct_operation", "arguments_valid", "schema_valid", "date_accuracy", "policy_accuracy", "proposal_quality", "recovery_expected", "injected", "observed", "recovery_successful",
         "unsupported", "authority", "model_calls", "tool_calls", "latency", F.filter(failures, lambda x: x.isNotNull()).alias("hard_failures"),
     )
-
-
-def simulate(cases: DataFrame, generate: Callable[[list[dict]], dict], prompt: str, max_calls: int = 5) -> DataFrame:
-    """The log of a live model: generate(messages) gives the next turn, until it says a text or has had its calls.
-
-    The cases carry an intent. Every case is played by itself, so cases are
-    dealt to all executors; the model is whatever `generate` calls. Scores
-    come from score(), as for any log.
-    """
-    import json
-    import time
-
-    def play(case: pd.Series) -> Iterator[tuple]:
-        said, step = [{"role": "system", "content": prompt}, {"role": "user", "content": case["intent"]}], 0
-        for number in range(1, max_calls + 1):
-            began = time.monotonic_ns()
-            turn = generate(said)
-            yield case["case_id"], number, json.dumps(turn), time.monotonic_ns() - began
-            made = turn.get("toolCalls") if isinstance(turn, dict) else None
-            if not isinstance(made, list) or len(made) != 1:
-                return
-            hit = step < len(case["script"]) and made[0].get("arguments") == json.loads(case["script"][step]["arguments"])
-            result = json.loads(case["script"][step]["result"]) if hit else {"candidates": [], "error": "the fixture has no such search"}
-            step += hit
-            said += [turn, {"role": "tool", "toolCallId": str(made[0].get("id")), "name": "catalog_search", "content": result}]
-            if hit and step == len(case["script"]) and case["axis"] == REPAIR:
-                said += [{"role": "assistant", "content": "{not-json"}, {"role": "user", "content": "Answer again, in JSON."}]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([t for _, case in b.iterrows() for t in play(case)], columns=["case_id", "call_number", "turn", "latency"])
-
-    return cases.select("case_id", "axis", "intent", "script").mapInPandas(run, LOG)

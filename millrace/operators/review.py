@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered
+
 SETTLED = ("approved", "rejected")
 
 
@@ -13,8 +15,8 @@ def request_plan(items: DataFrame, reviewers: DataFrame, order: str, text: str,
 
     reviewers is a handful of rows. Costs are exact decimals.
     """
-    numbered = items.select(F.col(order), F.octet_length(text).alias("bytes"), (F.row_number().over(Window.orderBy(order)) - 1).alias("nth"))
-    batches = numbered.groupBy(F.floor(F.col("nth") / size).cast("bigint").alias("batch")).agg(F.count("*").alias("n_items"), F.sum("bytes").cast("bigint").alias("n_bytes"))
+    rows = numbered(items.select(F.col(order), F.octet_length(text).alias("bytes")), "nth", order)
+    batches = rows.groupBy(F.floor((F.col("nth") - 1) / size).cast("bigint").alias("batch")).agg(F.count("*").alias("n_items"), F.sum("bytes").cast("bigint").alias("n_bytes"))
     cost = (F.col("n_bytes").cast("decimal(18,0)") * F.col("factor").cast("decimal(4,2)") * F.lit(price).cast("decimal(10,8)")).cast("decimal(30,10)")
     return batches.join(F.broadcast(reviewers)).select("role", "batch", "n_items", "n_bytes", cost.alias("cost"))
 
@@ -58,12 +60,8 @@ def coverage(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
-    """Two tables side by side in their orders; `position` from 1, and nulls where one is longer.
-
-    Meant for manifests and decision lists: a total order passes one window.
-    """
-    a = left.withColumn("position", F.row_number().over(Window.orderBy(*left_order)))
-    b = right.withColumn("position", F.row_number().over(Window.orderBy(*right_order)))
+    """Two tables side by side in their orders; `position` from 1, and nulls where one is longer."""
+    a, b = numbered(left, "position", *left_order), numbered(right, "position", *right_order)
     return a.join(b, "position", "full_outer")
 
 
@@ -91,10 +89,10 @@ def decision_reason(decision: Column, required: Column) -> Column:
     sound = lambda who: ~settled(who) | ((text(who, "reviewer") != "") & at(who).isNotNull())
     second = required & settled("secondary")
     return first_reason([
-        Rule("decision fields differ from the schema", jsonx.closed(decision, DECISION) & (jsonx.integer(v, "$.schemaVersion") == 1)),
-        Rule("primary fields differ from the schema", jsonx.closed(sub("primary"), PERSON)),
-        Rule("secondary fields differ from the schema", jsonx.closed(sub("secondary"), [*PERSON, "required"])),
-        Rule("secondary requirement drifted", F.coalesce(F.when(jsonx.kind(v, "$.secondary.required") == "BOOLEAN", F.try_variant_get(v, "$.secondary.required", "boolean")) == required, F.lit(False))),
+        Rule("the decision has other fields", jsonx.closed(decision, DECISION) & (jsonx.integer(v, "$.schemaVersion") == 1)),
+        Rule("the first review has other fields", jsonx.closed(sub("primary"), PERSON)),
+        Rule("the second review has other fields", jsonx.closed(sub("secondary"), [*PERSON, "required"])),
+        Rule("a second review is wanted where it is not required, or the other way round", F.coalesce(F.when(jsonx.kind(v, "$.secondary.required") == "BOOLEAN", F.try_variant_get(v, "$.secondary.required", "boolean")) == required, F.lit(False))),
         Rule("unknown verdict", text("primary", "verdict").isin("pending", *SETTLED) & F.when(required, text("secondary", "verdict").isin("pending", *SETTLED)).otherwise(text("secondary", "verdict") == "not-required")),
         Rule("a settled verdict needs a reviewer and a UTC time", sound("primary") & sound("secondary")),
         Rule("a pending verdict carries evidence", (settled("primary") | ~evidence("primary")) & (settled("secondary") | ~evidence("secondary"))),

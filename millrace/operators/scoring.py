@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import floored_median, nearest_rank
+from ..sources.tables import RANGE, before, ranged
 
 EPSILON = 1e-12
 REGRESSION = 0.02
@@ -46,18 +47,25 @@ def unpivot(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return df.unpivot(key, metrics, "metric", "value")
 
 
-def threshold_gate(metrics: DataFrame, thresholds: dict[str, float], key: str) -> DataFrame:
-    """key, failing, decision from (key, metric, value) and the least value of each metric: the metrics below it, sorted and comma-joined.
+def threshold_gate(metrics: DataFrame, checks: list[tuple[str, float | None, float | None]], key: str, never: tuple[str, ...] = ()) -> DataFrame:
+    """key, failing, decision from (key, metric, value) and checks (metric, least or None, most or None): the metrics outside, in the order of the checks, comma-joined.
 
-    A metric without value fails. Equality up to EPSILON passes.
+    Bounds are exact and part of what passes; a metric without value fails. A
+    metric in `never`, e.g. a count of hard failures, fails above 0, after the
+    others.
     """
-    keys = metrics.select(key).distinct()
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(float(v)).alias("least")) for m, v in thresholds.items()]))
-    wanted = keys.select(key, each.alias("t")).select(key, "t.metric", "t.least")
-    both = wanted.join(metrics, [key, "metric"], "left")
-    fails = both.withColumn("fails", ~F.coalesce(F.col("value") + EPSILON >= F.col("least"), F.lit(False)))
-    out = fails.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("fails"), F.col("metric")))), ",").alias("failing"))
-    return out.select(key, "failing", F.when(F.col("failing") == "", "passes").otherwise("fails").alias("decision"))
+    listed = [*checks, *[(m, None, 0.0) for m in never]]
+    # Metrics and checks are a handful: each key's metrics meet in one map.
+    values = metrics.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("metric").isin([m for m, *_ in listed]), F.struct("metric", "value")))).alias("m"))
+    value = lambda m: F.try_element_at("m", F.lit(m))
+
+    def outside(m: str, least: float | None, most: float | None) -> Column:
+        holds = F.lit(True) if least is None else value(m) >= F.lit(float(least))
+        holds = holds if most is None else holds & (value(m) <= F.lit(float(most)))
+        return F.when(~F.coalesce(holds & value(m).isNotNull(), F.lit(False)), F.lit(m))
+
+    failing = F.array_join(F.filter(F.array(*[outside(*c) for c in listed]), lambda x: x.isNotNull()), ",")
+    return values.select(key, failing.alias("failing")).select(key, "failing", F.when(F.col("failing") == "", "passes").otherwise("fails").alias("decision"))
 
 
 def compare(stock: DataFrame, adapter: DataFrame, key: str, metrics: list[str], margin: float, may_fall: tuple[str, ...] = ()) -> DataFrame:
@@ -102,10 +110,12 @@ def corpus_digest(df: DataFrame, text: Column, order: str, block: int = 10_000)
 def consumed(cases: DataFrame, log: DataFrame, order: str, calls: str, position: str) -> DataFrame:
     """The log's rows with the case each belongs to: case k owns the next `calls` rows after those of the cases before.
 
-    Positions of the log run from 1. Needs the cases in one order, so their
-    counts pass through one window: a row a case, never a row a call.
+    Positions of the log run from 1. The cases' calls are added up by ranges of
+    their order.
     """
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    owned = cases.select("*", F.coalesce(F.sum(calls).over(w), F.lit(0)).alias("_start"))
-    numbered = owned.select("*", F.explode(F.sequence(F.lit(1), F.col(calls).cast("int"))).alias("call_number")).where(F.col(calls) > 0)
-    return numbered.withColumn(position, (F.col("_start") + F.col("call_number")).cast("bigint")).join(log, position, "left").drop("_start")
+    rows = ranged(cases, order)
+    starts = F.broadcast(before(rows, F.col(calls)).select(RANGE, "start"))  # one row a range
+    w = Window.partitionBy(RANGE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    owned = rows.withColumn("_own", F.coalesce(F.sum(calls).over(w), F.lit(0))).join(starts, RANGE).withColumn("_start", F.col("start") + F.col("_own"))
+    each = owned.select("*", F.explode(F.sequence(F.lit(1), F.col(calls).cast("int"))).alias("call_number")).where(F.col(calls) > 0)
+    return each.withColumn(position, (F.col("_start") + F.col("call_number")).cast("bigint")).join(log, position, "left").drop("_start", "_own", "start", RANGE)

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions import text as T
-from .arguments import MEDIA, items, search_reason
+from ..functions.jsonx import items
+from ..sources.tables import checkpoint
+from .arguments import MEDIA, search_reason
 
 #: What stands after all messages.
 END = 1 << 30
@@ -20,8 +22,11 @@ END = 1 << 30
 
 def messages(traces: DataFrame, key: str = "trace_id", text: str = "trace") -> DataFrame:
     """key, position (from 0), role, message (a variant), last."""
-    m = items(jsonx.variant(F.col(text)), "$.messages")
-    rows = traces.select(F.col(key), F.size(m).alias("n"), F.posexplode(m).alias("position", "message"))
+    return _messages(traces.select(key, items(jsonx.variant(F.col(text)), "$.messages").alias("_said")), key)
+
+
+def _messages(parsed: DataFrame, key: str) -> DataFrame:
+    rows = parsed.select(key, F.size("_said").alias("n"), F.posexplode("_said").alias("position", "message"))
     return rows.select(key, "position", jsonx.string(F.col("message"), "$.role").alias("role"), "message", (F.col("position") == F.col("n") - 1).alias("last"))
 
 
@@ -69,7 +74,9 @@ def problems(traces: DataFrame, prompt: str, declared: list[str] | None = None,
     it has there and sure between 0 and 1. Texts that are no JSON have a
     problem of their own; null texts too.
     """
-    rows = messages(traces, key, text)
+    # Parsed once; every check below reads what is kept.
+    parsed = checkpoint(traces.select(key, items(jsonx.variant(F.col(text)), "$.messages").alias("_said")))
+    rows = checkpoint(_messages(parsed, key))
     m = F.col("message")
     no = lambda holds: ~F.coalesce(holds, F.lit(False))
 
@@ -78,8 +85,8 @@ def problems(traces: DataFrame, prompt: str, declared: list[str] | None = None,
         each = F.array(*[F.when(broken, F.struct(F.lit(rule).alias("rule"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))) for rule, broken, reason in found])
         return df.select(F.col(key), position.alias("position"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(key, "position", "x.rule", "x.reason")
 
-    n = F.size(items(jsonx.variant(F.col(text)), "$.messages"))
-    short = say(traces, F.lit(-1), (0, F.coalesce(n < 3, F.lit(True)), "incomplete conversation"))
+    n = F.size("_said")
+    short = say(parsed, F.lit(-1), (0, F.coalesce(n < 3, F.lit(True)), "fewer than three messages"))
     at, role = F.col("position"), F.col("role")
     first = (jsonx.string(m, "$.content") == prompt) & (role == "system") & jsonx.closed(F.to_json(m), ["role", "content"])
     intent = (role == "user") & (jsonx.string(m, "$.content") != "")
@@ -88,20 +95,20 @@ def problems(traces: DataFrame, prompt: str, declared: list[str] | None = None,
     known = F.when(role == "assistant", has_calls | is_text).when(role == "user", is_text).otherwise(role == "tool")
     turn = jsonx.closed(F.to_json(m), ["role", "toolCalls"]) & (F.size(items(m, "$.toolCalls")) > 0)
     wrong = say(
-        rows, at, (1, (at == 0) & no(first), "first message differs from the system prompt"), (2, (at == 1) & no(intent), "second message must be the intent"),
-        (3, (at > 1) & no(known), "invalid message"), (4, (at > 1) & (role == "assistant") & has_calls & no(turn), "malformed assistant tool-call turn"),
+        rows, at, (1, (at == 0) & no(first), "first message differs from the frozen system prompt"), (2, (at == 1) & no(intent), "no intent in second place"),
+        (3, (at > 1) & no(known), "a message of no known form"), (4, (at > 1) & (role == "assistant") & has_calls & no(turn), "a turn of calls with other fields"),
     )
 
     later = rows.where("position > 1")
-    made = calls(later, key)
+    made = checkpoint(calls(later, key))
     sound = F.coalesce(F.col("complete") & (F.col("name") == "catalog_search") & (F.col("call_id") != ""), F.lit(False))
-    why = F.when(~sound, "invalid catalog_search call").otherwise(search_reason(F.col("arguments"), declared))
+    why = F.when(~sound, "a call of no search, or without id").otherwise(search_reason(F.col("arguments"), declared))
     wrong = wrong.union(short).union(say(made.withColumn("why", why), at, (5, F.col("why").isNotNull(), F.col("why"))))
 
-    found = results(later, key)
+    found = checkpoint(results(later, key))
     content = F.col("content")
     shape = F.col("complete") & (jsonx.kind(content) == "OBJECT") & (F.size(jsonx.unknown_keys(F.to_json(content), ["candidates", "error"])) == 0)
-    wrong = wrong.union(say(found, at, (6, no(shape & F.coalesce(jsonx.kind(content, "$.candidates") == "ARRAY", F.lit(True))), "invalid tool result")))
+    wrong = wrong.union(say(found, at, (6, no(shape & F.coalesce(jsonx.kind(content, "$.candidates") == "ARRAY", F.lit(True))), "a result of no known form")))
 
     # Along a trace, each use of an id opens a call and each result closes one; its neighbours say where that fails.
     steps = made.select(key, "position", "nth", "call_id", "name", F.lit(1).alias("opens")).union(found.select(key, "position", F.lit(0), "call_id", "name", F.lit(-1)))
@@ -109,26 +116,26 @@ def problems(traces: DataFrame, prompt: str, declared: list[str] | None = None,
     state = steps.withColumn("before", F.coalesce(F.lag("opens").over(w), F.lit(-1))).withColumn("after", F.lead("opens").over(w)).withColumn("called", F.lag("name").over(w))
     opens = F.col("opens") == 1
     wrong = wrong.union(say(
-        state, F.when(opens & F.col("after").isNull() & (F.col("before") == -1), END).otherwise(at), (7, opens & (F.col("before") == 1), "duplicate tool call id"),
-        (8, ~opens & ((F.col("before") == -1) | ~F.col("called").eqNullSafe(F.col("name"))), "tool result does not resolve a call"), (9, opens & F.col("after").isNull(), "unresolved tool calls"),
+        state, F.when(opens & F.col("after").isNull() & (F.col("before") == -1), END).otherwise(at), (7, opens & (F.col("before") == 1), "a call's id is taken"),
+        (8, ~opens & ((F.col("before") == -1) | ~F.col("called").eqNullSafe(F.col("name"))), "a result answers no open call"), (9, opens & F.col("after").isNull(), "a call is left unanswered"),
     ))
 
     shown = candidates(found, key)
     bad = no(F.col("media").isin(MEDIA) & (F.col("id") > 0))
-    wrong = wrong.union(say(shown, at, (10, bad, "invalid candidate identity"), (11, ~bad & (F.coalesce("name", F.lit("")) == ""), "candidate name required")))
+    wrong = wrong.union(say(shown, at, (10, bad, "a candidate without identity"), (11, ~bad & (F.coalesce("name", F.lit("")) == ""), "a candidate without name")))
 
-    last = finals(rows, key)
+    last = checkpoint(finals(rows, key))
     listed = items(F.col("final"), "$.picks")
-    whole = traces.where(n >= 3).select(key).join(last, key, "left")
+    whole = parsed.where(n >= 3).select(key).join(last, key, "left")
     wrong = wrong.union(say(
-        whole, F.lit(END), (12, F.col("final").isNull(), "missing final assistant JSON"), (13, F.col("final").isNotNull() & listed.isNull(), "final proposal lacks picks"),
-        (14, F.coalesce(F.size(listed) > 8, F.lit(False)), "final proposal exceeds eight picks"),
+        whole, F.lit(END), (12, F.col("final").isNull(), "the end is no JSON of the assistant"), (13, F.col("final").isNotNull() & listed.isNull(), "the proposal lacks picks"),
+        (14, F.coalesce(F.size(listed) > 8, F.lit(False)), "more than eight picks"),
     ))
     surfaced = shown.groupBy(key, "media", "id").agg(F.max_by("name", F.struct("position", "nth")).alias("shown"), F.lit(True).alias("is_shown"))
     taken = picks(last, key).join(surfaced, [key, "media", "id"], "left")
     return wrong.union(say(
-        taken, F.lit(END), (15, F.col("is_shown").isNull(), "unsupported selected id"), (16, F.col("is_shown") & ~F.col("name").eqNullSafe(F.col("shown")), "selected name differs from tool result"),
-        (17, no(F.col("confidence").between(0, 1)), "invalid confidence"),
+        taken, F.lit(END), (15, F.col("is_shown").isNull(), "unsupported selected id"), (16, F.col("is_shown") & ~F.col("name").eqNullSafe(F.col("shown")), "a pick goes by another name"),
+        (17, no(F.col("confidence").between(0, 1)), "a confidence outside 0 to 1"),
     ))
 
 
@@ -147,13 +154,13 @@ def record_reason(text: Column, split: list[str]) -> Column:
     approved = jsonx.string(v, "$.review.status") == "approved"
     evidence = jsonx.filled(v, "$.review.reviewer") & jsonx.filled(v, "$.review.reviewedAt")
     return first_reason([
-        Rule("top-level fields differ from the schema", jsonx.closed(text, ["schemaVersion", "traceId", "split", "axes", "contract", "tools", "messages", "review", "provenance"])),
-        Rule("unsupported schemaVersion", jsonx.integer(v, "$.schemaVersion") == 1),
-        Rule("invalid traceId", F.regexp_like(jsonx.string(v, "$.traceId"), F.lit(r"\Aplanner-[a-z0-9-]+\z"))),
-        Rule("forbidden split", jsonx.string(v, "$.split").isin(split)),
-        Rule("axes must be non-empty", F.size(axes) > 0),
-        Rule("duplicate axis", F.size(F.array_distinct(F.transform(axes, lambda x: F.to_json(x)))) == F.size(axes)),
+        Rule("the record has other fields", jsonx.closed(text, ["schemaVersion", "traceId", "split", "axes", "contract", "tools", "messages", "review", "provenance"])),
+        Rule("not version 1", jsonx.integer(v, "$.schemaVersion") == 1),
+        Rule("the id is not of its form", F.regexp_like(jsonx.string(v, "$.traceId"), F.lit(r"\Aplanner-[a-z0-9-]+\z"))),
+        Rule("the split is not open to records", jsonx.string(v, "$.split").isin(split)),
+        Rule("no axis", F.size(axes) > 0),
+        Rule("an axis twice", F.size(F.array_distinct(F.transform(axes, lambda x: F.to_json(x)))) == F.size(axes)),
         Rule("possible secret or private path", ~T.leaks(text)),
-        Rule("review evidence does not fit its status", F.coalesce(approved == evidence, F.lit(False))),
-        Rule("provenance must be filled", jsonx.filled(v, "$.provenance.source") & jsonx.filled(v, "$.provenance.author")),
+        Rule("the review's evidence is not that of its status", F.coalesce(approved == evidence, F.lit(False))),
+        Rule("a blank provenance", jsonx.filled(v, "$.provenance.source") & jsonx.filled(v, "$.provenance.author")),
     ])

@@ -43,11 +43,12 @@ def forbidden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.sum("n").alias("found"))
 
 
-@query("""SELECT event_type, sha256('{"k":"#"}') AS digest, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY 1""")
+@query("""SELECT o_orderkey % 5 AS kind, sha256('{"a":[{"k":"#","n":"' || o_orderstatus || '"}],"b":"' || o_orderpriority || '","k":"#"}') AS digest, count(*) AS n FROM orders GROUP BY 1, 2""")
 def masked_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of records whose ids are masked: relabelled copies collide."""
-    e = read(spark, sf_dir, "events").where("props IS NOT NULL").select("event_type", F.sha2(jsonx.masked(F.col("props"), ["k"], "#"), 256).alias("digest"))
-    return e.groupBy("event_type", "digest").agg(F.count("*").alias("n"))
+    """Digests of records whose ids are masked, at two depths: copies under other ids collide, others do not."""
+    o = read(spark, sf_dir, "orders")
+    record = F.format_string('{"k": %d, "b": "%s", "a": [{"n": "%s", "k": [%d]}]}', "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey")
+    return o.select((F.col("o_orderkey") % 5).alias("kind"), F.sha2(jsonx.masked(record, ["k"], "#"), 256).alias("digest")).groupBy("kind", "digest").agg(F.count("*").alias("n"))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CASE WHEN l_orderkey % 7 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(18,2)) AS cost FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
@@ -76,12 +77,18 @@ def contract_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.identity_problems(read(spark, sf_dir, "documents"), {"lang": "en", "source": "src0"}, "doc_id").groupBy("field").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN '{"k":"' || conv_id || '"}' END AS arguments FROM conversations""")
 def wire_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns written as an endpoint's messages and read back."""
-    sent = read(spark, sf_dir, "conversations").select("role", messages.wire(F.try_parse_json(F.to_json(F.struct("role", F.col("text").alias("content")))), True).alias("m"))
-    back = sent.select(F.get_json_object("m", "$.role").alias("role"), F.get_json_object(messages.endpoint_turn(F.col("m"), F.lit(1)), "$.content").alias("text"))
-    return back.groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    """Turns written as an endpoint's messages and read back; each turn of an assistant is sent as a call, too."""
+    rows = read(spark, sf_dir, "conversations")
+    plain = F.try_parse_json(F.to_json(F.struct("role", F.col("text").alias("content")), {"ignoreNullFields": "false"}))
+    called = F.try_parse_json(F.format_string('{"role":"assistant","toolCalls":[{"id":"c%d","name":"catalog_search","arguments":{"k":"%s"}}]}', "turn", F.col("conv_id").cast("string")))
+    sent = rows.select("conv_id", "turn", messages.wire(plain, True).alias("m"), messages.wire(called, True).alias("c"), "role")
+    back = messages.endpoint_turn(F.col("c"), F.lit(1))
+    return sent.select(
+        "conv_id", "turn", F.get_json_object("m", "$.role").alias("role"), F.get_json_object(messages.endpoint_turn(F.col("m"), F.lit(1)), "$.content").alias("text"),
+        F.when(F.col("role") == "assistant", F.get_json_object(back, "$.toolCalls[0].arguments")).alias("arguments"),
+    )
 
 
 @query("""WITH t AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS flow FROM conversations GROUP BY 1) SELECT length(flow) // 1000 AS thousands, count(*) AS n FROM t GROUP BY 1""")
@@ -92,24 +99,46 @@ def conversation_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(F.floor(F.length(flow) / 1000).cast("bigint").alias("thousands")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _variants(spark: SparkSession, sf_dir: str) -> int:
+    """Cases an axis: one for each fiftieth customer, so that they grow with the tables."""
+    return max(5, read(spark, sf_dir, "customer").count() // 50)
+
+
+_AXES = ", ".join(f"({i}, '{axis}')" for i, axis in enumerate(generate.AXES))
+_MADE = f"""made AS (SELECT a.i * n.variants + v.v AS id, axis, v.v, 'case-' || axis || '-' || lpad(CAST(v.v AS VARCHAR), CAST(greatest(2, length(CAST(v.v AS VARCHAR))) AS INTEGER), '0') AS case_id
+  FROM (VALUES {_AXES}) a(i, axis), (SELECT greatest(5, count(*) // 50) AS variants FROM customer) n, LATERAL (SELECT unnest(range(n.variants)) AS v) v)"""
+_RECOVERY = ", ".join(f"'{x}'" for x in replay.RECOVERY)
+
+
+@query(f"""WITH {_MADE},
+played AS (SELECT *, CASE WHEN axis IN ({_RECOVERY}) AND axis <> 'malformed-final-repair' THEN 3 ELSE 2 END AS turns FROM made)
+SELECT axis, count(*) AS n, 1.0::DOUBLE AS grounded_rate, 1.0::DOUBLE AS correct_operation_rate, 1.0::DOUBLE AS arguments_valid_rate, 1.0::DOUBLE AS schema_valid_rate, 1.0::DOUBLE AS policy_accuracy_rate, 1.0::DOUBLE AS proposal_quality_rate, 1.0::DOUBLE AS recovery_successful_rate,
+  CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS unsupported, CAST(0 AS BIGINT) AS authority, CAST(max(turns * (turns + 1) // 2 * 1000000) AS BIGINT) AS p50, CAST(max(turns * (turns + 1) // 2 * 1000000) AS BIGINT) AS p95
+FROM played GROUP BY axis""")
 def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The perfect model's turns, played against the generated cases, scored and summed by axis."""
-    made = generate.cases(spark)
+    """The perfect model's turns, played against the generated cases, scored and summed by axis: it has every rate and no failure."""
+    made = generate.cases(spark, _variants(spark, sf_dir))
     scored = replay.score(made, generate.perfect_log(made)).withColumn("failures", F.size("hard_failures"))
     flags = ["grounded", "correct_operation", "arguments_valid", "schema_valid", "policy_accuracy", "proposal_quality", "recovery_successful"]
     return scoring.summary(scored, "axis", flags, ["failures", "unsupported", "authority"], "latency", {"recovery_successful": "recovery_expected"})
 
 
-@query()
+@query(f"""WITH {_MADE} SELECT CASE WHEN case_id LIKE '%1' AND axis <> 'abstention' THEN 'unsupported selected id' ELSE 'none' END AS reason, count(*) AS n FROM made GROUP BY 1""")
 def trace_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated traces, of which each fifth picks an id that nothing surfaced, by their first problem."""
-    made = generate.traces(generate.cases(spark)).withColumn("trace", F.when(F.col("trace_id").endswith("1"), F.regexp_replace("trace", r'\\"tmdbId\\":[0-9]+', r'\\\\"tmdbId\\\\":999999')).otherwise(F.col("trace")))
+    """Generated traces, of which each whose number ends in 1 picks an id that nothing surfaced, by their first problem."""
+    made = generate.traces(generate.cases(spark, _variants(spark, sf_dir))).withColumn("trace", F.when(F.col("trace_id").endswith("1"), F.regexp_replace("trace", r'\\"tmdbId\\":[0-9]+', r'\\"tmdbId\\":999999')).otherwise(F.col("trace")))
     return traces.first_problems(made, generate.PROMPT).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_MADE} SELECT axis, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN axis = 'abstention' THEN 0 ELSE 4 END) AS BIGINT) AS candidates,
+  CAST(count(DISTINCT v) AS BIGINT) AS intents, CAST(0 AS BIGINT) AS household FROM made GROUP BY axis""")
 def case_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what generated traces ask, ids masked, with the number of candidates each surfaces."""
-    made = generate.traces(generate.cases(spark))
-    return made.select("trace_id", fingerprints.semantic_digest(F.col("trace"), False).alias("digest"), F.size(fingerprints.identities(F.col("trace"))).alias("n_candidates"), case_rules.synthetic_reason(F.col("trace")).alias("reason"))
+    """What generated traces surface and ask, by axis: relabelled copies have one digest, other requests have others."""
+    made = generate.cases(spark, _variants(spark, sf_dir))
+    copies = made.withColumn("case_id", F.concat(F.col("case_id"), F.lit("-copy")))
+    both = generate.traces(made).withColumn("copy", F.lit(0)).union(generate.traces(copies).withColumn("copy", F.lit(1)))
+    told = both.select("copy", F.regexp_extract("trace_id", "^planner-case-(.+)-[0-9]+(?:-copy)?$", 1).alias("axis"), fingerprints.semantic_digest(F.col("trace"), False).alias("digest"), F.size(fingerprints.identities(F.col("trace"))).alias("n"), case_rules.synthetic_reason(F.col("trace")).alias("reason"))
+    same = told.groupBy("axis", "digest").agg(F.count_if(F.col("copy") == 0).alias("own"), F.count_if(F.col("copy") == 1).alias("copied"))
+    asked = same.where("own = copied").groupBy("axis").agg(F.count("*").alias("intents"))
+    counts = told.where("copy = 0").groupBy("axis").agg(F.count("*").alias("n"), F.sum("n").cast("bigint").alias("candidates"), F.count("reason").alias("household"))
+    return counts.join(asked, "axis").select("axis", "n", "candidates", "intents", "household")

@@ -68,14 +68,14 @@ def last_wins_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.last_wins(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
-@query("""WITH m AS (SELECT source, coalesce(avg(CAST(quality AS DOUBLE)), 1.0) AS quality, 1 - coalesce(avg(CAST(toxic AS DOUBLE)), 1.0) AS clean, count(l.doc_id) / count(*) AS labelled FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1),
-f AS (SELECT source, list_sort([x for x in [CASE WHEN quality + 1e-12 < 0.85 THEN 'quality' END, CASE WHEN clean + 1e-12 < 0.9 THEN 'clean' END, CASE WHEN labelled + 1e-12 < 0.4 THEN 'labelled' END] if x IS NOT NULL]) AS l FROM m)
+@query("""WITH m AS (SELECT source, coalesce(avg(CAST(quality AS DOUBLE)), 1.0) AS quality, coalesce(avg(CAST(toxic AS DOUBLE)), 1.0) AS toxic, count(l.doc_id) / count(*) AS labelled, count(*) FILTER (quality = 1 AND toxic = 1) AS odd FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1),
+f AS (SELECT source, [x for x in [CASE WHEN NOT quality >= 0.85 THEN 'quality' END, CASE WHEN NOT toxic <= 0.1 THEN 'toxic' END, CASE WHEN NOT (labelled >= 0.1 AND labelled <= 0.4) THEN 'labelled' END, CASE WHEN odd > 0 THEN 'odd' END] if x IS NOT NULL] AS l FROM m)
 SELECT source, array_to_string(l, ',') AS failing, CASE WHEN len(l) = 0 THEN 'passes' ELSE 'fails' END AS decision FROM f""")
 def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    m = both.groupBy("source").agg(scoring.rate(F.col("quality") == 1).alias("quality"), (1 - scoring.rate(F.col("toxic") == 1)).alias("clean"), (F.count("quality") / F.count("*")).alias("labelled"))
-    least = {"quality": 0.85, "clean": 0.9, "labelled": 0.4}
-    return scoring.threshold_gate(scoring.unpivot(m, "source", list(least)), least, "source")
+    odd = F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).cast("double")
+    m = both.groupBy("source").agg(scoring.rate(F.col("quality") == 1).alias("quality"), scoring.rate(F.col("toxic") == 1).alias("toxic"), (F.count("quality") / F.count("*")).alias("labelled"), odd.alias("odd"))
+    return scoring.threshold_gate(scoring.unpivot(m, "source", ["quality", "toxic", "labelled", "odd"]), [("quality", 0.85, None), ("toxic", None, 0.1), ("labelled", 0.1, 0.4)], "source", ("odd",))
 
 
 @query("""WITH s AS (SELECT event_type, avg(CAST(value > 10 AS INT)) FILTER (event_id % 2 = 0) AS a, avg(CAST(value > 10 AS INT)) FILTER (event_id % 2 = 1) AS b, avg(CAST(value > 30 AS INT)) FILTER (event_id % 2 = 0) AS c, avg(CAST(value > 30 AS INT)) FILTER (event_id % 2 = 1) AS d FROM events GROUP BY 1),
@@ -151,9 +151,11 @@ def duration_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(seconds(F.col("ts"), F.col("billed"))).cast("decimal(28,6)").alias("waited"), F.count_if(F.col("ts").cast("timestamp") == F.col("billed")).alias("on_the_hour"))
 
 
-@query("""SELECT count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY item_id)) AS digest FROM benchmark""")
+@query("""WITH blocks AS (SELECT doc_id // 1000 AS b, count(*) AS n, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id, sha256(coalesce(text, '')))) AS digest FROM documents GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, '' ORDER BY b)) AS digest FROM blocks""")
 def ordered_corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.ordered_digest(read(spark, sf_dir, "benchmark"), F.sha2("text", 256), "item_id")
+    """All documents in the order of their ids, by digests of blocks."""
+    return scoring.corpus_digest(read(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")), "doc_id", 1000)
 
 
 @query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + CAST(floor(value * 60) AS BIGINT) AS e FROM events WHERE user_id IS NOT NULL)

@@ -82,10 +82,10 @@ def traces(rows: DataFrame, prompt: str = PROMPT) -> DataFrame:
 
 
 def denylist(sources: DataFrame, protected: list[str], least_length: int, text: str = "record") -> DataFrame:
-    """kind, digest: of all protected leaves of the records, their digests as they are and normalized; the values stay behind."""
+    """kind, digest: of all protected leaves of the records, their digests as they are and normalized (case folded, single spaces); the values stay behind."""
     from ..functions import text as T
 
     leaf = sources.select(F.explode(jsonx.json_leaves(F.col(text), protected)).alias("l")).where("l.protected").select("l.value")
     leaf = leaf.where(F.length(F.trim("value")) >= least_length)
-    both = leaf.select(F.lit("exact").alias("kind"), T.sha256(F.col("value")).alias("digest")).union(leaf.select(F.lit("normalized"), T.fingerprint(F.col("value"))))
+    both = leaf.select(F.lit("exact").alias("kind"), T.sha256(F.col("value")).alias("digest")).union(leaf.select(F.lit("normalized"), T.folded_fingerprint(F.col("value"))))
     return both.distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
@@ -15,9 +15,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     nth orders the lines of a file as they stand, also where a file is read in
     several splits; it is not the line's number, which no split can know.
     """
+    return _lines(spark, path).where(F.length(F.trim("line")) > 0)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
     # Within a block the ids rise; blocks of a file rise by their start.
-    return text.where(F.length(F.trim("line")) > 0).select("file", F.struct("block", "id").alias("nth"), "line")
+    return text.select("file", F.struct("block", "id").alias("nth"), "line")
 
 
 def problem(line: Column) -> Column:
@@ -32,18 +36,36 @@ def read_lax(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_strict(spark: SparkSession, path: str) -> DataFrame:
-    """file, nth, record; RuleError that names the first bad line, or a path without records."""
+    """file, nth, record; RuleError that names the first bad line by file and number, or a path without records."""
     rows = read_lax(spark, path)
     found = rows.agg(F.count("*").alias("n"), F.min(F.when(F.col("problem").isNotNull(), F.struct("file", "nth", "problem", F.substring("record", 1, 80).alias("start")))).alias("bad")).first()
     if found["bad"] is not None:
-        raise RuleError(f"{found['bad']['file']}: {found['bad']['problem']}: {found['bad']['start']}")
+        bad = found["bad"]
+        raise RuleError(f"{bad['file']}:{_number(spark, path, bad)}: {bad['problem']}: {bad['start']}")
     if not found["n"]:
         raise RuleError(f"{path}: no records")
     return rows.drop("problem")
 
 
+def _number(spark: SparkSession, path: str, row: Row) -> int:
+    """The number of a line within its file, blank lines counted: those up to it, wherever they were read."""
+    at = F.struct(F.lit(row["nth"]["block"]).cast("long").alias("block"), F.lit(row["nth"]["id"]).cast("long").alias("id"))
+    return _lines(spark, path).where((F.col("file") == row["file"]) & (F.col("nth") <= at)).count()
+
+
+def ends(spark: SparkSession, path: str) -> DataFrame:
+    """file, problem: files whose last line has no line feed, or that have a blank line, or nothing at all."""
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), F.octet_length("value").alias("n"), (F.length(F.trim("value")) == 0).alias("blank"))
+    # A file whose every line ends in a line feed has as many bytes as its lines and one more for each.
+    per = text.groupBy("file").agg((F.sum("n") + F.count("*")).alias("told"), F.max("bytes").alias("bytes"), F.max("blank").alias("blank"))
+    return per.select("file", F.when(F.col("told") != F.col("bytes"), "the last line has no line feed").when(F.col("blank"), "a blank line").alias("problem")).where("problem IS NOT NULL")
+
+
 def line_digests(spark: SparkSession, path: str) -> DataFrame:
-    """file, nth, record, digest: SHA-256 of each line with its line feed."""
+    """file, nth, record, digest: SHA-256 of each line with its line feed; RuleError for a line without one, a blank line or a bad record."""
+    bad = ends(spark, path).agg(F.min(F.struct("file", "problem")).alias("b")).first()["b"]
+    if bad is not None:
+        raise RuleError(f"{bad['file']}: {bad['problem']}")
     return read_strict(spark, path).withColumn("digest", F.sha2(F.concat("record", F.lit("\n")), 256))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,13 @@ def manifest(df: DataFrame, by: str, digest: Column) -> DataFrame:
     """
     bits = F.conv(F.substring(F.sha2(digest, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.groupBy(by).agg(F.count("*").alias("n"), F.sum(bits).cast("string").alias("digest"))
+
+
+def pretty(value: object) -> str:
+    """A manifest's text: keys sorted, two spaces a level, a line feed at the end."""
+    return json.dumps(value, indent=2, sort_keys=True) + "\n"
+
+
+def manifest_text(df: DataFrame, by: str, digest: Column) -> str:
+    """manifest() as one document, groups by name; there are as many rows as groups."""
+    return pretty({str(r[by]): {"n": r["n"], "digest": r["digest"]} for r in manifest(df, by, digest).collect()})

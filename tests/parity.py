@@ -10,6 +10,10 @@ from pathlib import Path
 import duckdb
 
 
+#: Digits that no decimal of either engine exceeds.
+EXACT = decimal.Context(prec=80)
+
+
 def views(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET threads = 4; SET TimeZone = 'UTC'")
@@ -23,7 +27,7 @@ def plain(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else float(f"{v:.9g}")
     if isinstance(v, decimal.Decimal):
-        return float(f"{v:.12g}")
+        return v.normalize(EXACT)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None)
     if isinstance(v, (list, tuple)):

@@ -62,7 +62,7 @@ def test_contracts(spark):
     rows = [changed(bundle, lambda x: None), changed(bundle, lambda x: x.update(more=1)), changed(bundle, lambda x: x.update(systemPrompt="q")), changed(bundle, lambda x: x["tools"][0].update(Description="e"))]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, b string")
     got = [r.w for r in df.select("i", evidence.contract_reason(F.col("b"), list(bundle)).alias("w")).orderBy("i").collect()]
-    assert got == [None, "contract fields drifted", "system prompt digest differs", "tool schema digest differs"]
+    assert got == [None, "the contract has other fields", "system prompt digest differs", "tool schema digest differs"]
     a = spark.createDataFrame([(1, "x", None), (2, "y", "v")], "k int, p string, q string")
     assert {tuple(r) for r in evidence.identity_problems(a, {"p": "x", "q": "v"}, "k").collect()} == {(1, "q"), (2, "p")}
 
@@ -88,10 +88,10 @@ CASE = {
 @pytest.mark.parametrize(
     "change, reason",
     [
-        (lambda c: None, None), (lambda c: c.update(extra=1), "case schema"), (lambda c: c.update(caseId="X"), "invalid caseId"), (lambda c: c.update(axis="z"), "split or axis"), (lambda c: c.update(intent=" "), "intent is empty"), (lambda c: c.update(script=[]), "1 to 2 steps"),
-        (lambda c: c["script"][0]["arguments"].update(query="x"), "invalid scripted search"), (lambda c: c["script"][0]["arguments"].update(keywords=["x"]), "ambiguous"), (lambda c: c["script"][0]["result"].update(more=1), "invalid scripted result"),
-        (lambda c: c["script"][0]["result"]["candidates"][0].update(tmdbId=2), "duplicate scripted candidate"), (lambda c: c["script"][0]["result"]["candidates"][0].update(tmdbId=-1), "invalid scripted candidate"), (lambda c: c["expectation"].pop("abstain"), "invalid expectation"),
-        (lambda c: c["expectation"].update(forbiddenIds=c["expectation"]["selectedIds"]), "overlap"), (lambda c: c["expectation"]["selectedIds"][0].update(tmdbId=9), "unscripted id"), (lambda c: c["expectation"].update(abstain=True), "abstention"), (lambda c: c["expectation"].update(maxToolCalls=2), "budget"),
+        (lambda c: None, None), (lambda c: c.update(extra=1), "the case has other fields"), (lambda c: c.update(caseId="X"), "the case's id is not of its form"), (lambda c: c.update(axis="z"), "another split"), (lambda c: c.update(intent=" "), "a blank intent"), (lambda c: c.update(script=[]), "1 to 2 steps"),
+        (lambda c: c["script"][0]["arguments"].update(query="x"), "a step's search is refused"), (lambda c: c["script"][0]["arguments"].update(keywords=["x"]), "several selectors"), (lambda c: c["script"][0]["result"].update(more=1), "a step's result has other fields"),
+        (lambda c: c["script"][0]["result"]["candidates"][0].update(tmdbId=2), "a candidate is scripted twice"), (lambda c: c["script"][0]["result"]["candidates"][0].update(tmdbId=-1), "a step's candidate has no identity"), (lambda c: c["expectation"].pop("abstain"), "the expectation has other fields"),
+        (lambda c: c["expectation"].update(forbiddenIds=c["expectation"]["selectedIds"]), "wanted and forbidden"), (lambda c: c["expectation"]["selectedIds"][0].update(tmdbId=9), "unscripted id"), (lambda c: c["expectation"].update(abstain=True), "abstention"), (lambda c: c["expectation"].update(maxToolCalls=2), "calls allowed"),
     ],
 )
 def test_cases(spark, change, reason):
@@ -106,7 +106,7 @@ def test_synthetic_payload_accept(spark):
     assert "synthetic" in one(cases.synthetic_reason, changed(CASE, lambda c: c.update(intent="mine")))
     key = '[{"mediaType":"movie","key":"movie:tmdb:1","name":"n"}]'
     assert one(cases.payload_state, key).keys == ["movie:tmdb:1"]
-    assert one(cases.payload_state, key.replace(":tmdb:", "-"))["problem"] == "invalid candidate"
+    assert one(cases.payload_state, key.replace(":tmdb:", "-"))["problem"] == "a candidate without key, name or kind"
     fault = one(cases.payload_state, '{"error":"x","fault":{"injected":true,"observed":true}}')
     assert fault.injected and fault.observed and fault["problem"] is None
     rule = json.dumps({"fields": {"genres": {"match": "containsAll", "value": ["Noir"], "required": True}, "keywords": {"match": "tokens", "value": "space opera", "required": False}}, "allowed": ["media_type"], "requireAny": []})

@@ -67,38 +67,23 @@ def test_wrong_search_and_missing_turns(cases):
     assert replay.played(cases.where("axis = 'runtime-bounds'"), equal, valid=lambda a: F.lit(True)).first().step == 1  # 90.0 is 90
 
 
-def test_simulation_agrees(cases):
-    wanted = {r.case_id: [json.loads(t) for t in r.t] for r in generate.perfect_log(cases).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("call_number", "turn"))).alias("x")).select("case_id", F.col("x.turn").alias("t")).collect()}
-    by_intent = {}
-    one = cases.where("axis = 'tool-error-recovery'")
-    for r in one.collect():
-        by_intent[r.intent] = wanted[r.case_id]
-
-    def generate_turn(messages):
-        return by_intent[messages[1]["content"]][sum(m["role"] == "assistant" for m in messages)]
-
-    log = replay.simulate(one, generate_turn, generate.PROMPT)
-    s = summed(replay.score(one, log))
-    assert s["failures"] == 0 and s["correct_operation_rate"] == 1.0 and s["recovery_successful_rate"] == 1.0
-
-
 MUTATIONS = [
-    (lambda t: t["messages"].pop(), "missing final assistant JSON"),
+    (lambda t: t["messages"].pop(), "the end is no JSON of the assistant"),
     (lambda t: t["messages"].pop(0), "first message differs"),
-    (lambda t: t["messages"][1].update(role="assistant", content=""), "second message must be the intent"),
-    (lambda t: t["messages"].pop(3), "unresolved"),
-    (lambda t: t["messages"].insert(3, t["messages"][2]), "duplicate tool call id"),
-    (lambda t: t["messages"].insert(2, t["messages"][3]), "does not resolve"),
+    (lambda t: t["messages"][1].update(role="assistant", content=""), "no intent in second place"),
+    (lambda t: t["messages"].pop(3), "left unanswered"),
+    (lambda t: t["messages"].insert(3, t["messages"][2]), "a call's id is taken"),
+    (lambda t: t["messages"].insert(2, t["messages"][3]), "answers no open call"),
     (lambda t: t["messages"][2]["toolCalls"][0]["arguments"].update(genres=["x"]), "title query mixed"),
-    (lambda t: t["messages"][2]["toolCalls"][0].update(arguments={}), "invalid catalog_search arguments"),
-    (lambda t: t["messages"][2].update(extra=1), "malformed assistant"),
-    (lambda t: t["messages"][3].update(content={"other": 1}), "invalid tool result"),
-    (lambda t: t["messages"][3]["content"]["candidates"][0].update(tmdbId="5"), "invalid candidate identity"),
-    (lambda t: t["messages"][-1].update(content="words"), "missing final assistant JSON"),
+    (lambda t: t["messages"][2]["toolCalls"][0].update(arguments={}), "not the arguments of a search"),
+    (lambda t: t["messages"][2].update(extra=1), "a turn of calls with other fields"),
+    (lambda t: t["messages"][3].update(content={"other": 1}), "a result of no known form"),
+    (lambda t: t["messages"][3]["content"]["candidates"][0].update(tmdbId="5"), "a candidate without identity"),
+    (lambda t: t["messages"][-1].update(content="words"), "the end is no JSON of the assistant"),
     (lambda t: t["messages"][-1].update(content=t["messages"][-1]["content"].replace('"picks":[', '"other":[')), "lacks picks"),
     (lambda t: t["messages"][-1].update(content=t["messages"][-1]["content"].replace("10000", "999999")), "unsupported selected id"),
-    (lambda t: t["messages"][-1].update(content=t["messages"][-1]["content"].replace("Title 10000", "Title X")), "name differs"),
-    (lambda t: t["messages"][-1].update(content=t["messages"][-1]["content"].replace("0.5", "1.5")), "invalid confidence"),
+    (lambda t: t["messages"][-1].update(content=t["messages"][-1]["content"].replace("Title 10000", "Title X")), "goes by another name"),
+    (lambda t: t["messages"][-1].update(content=t["messages"][-1]["content"].replace("0.5", "1.5")), "a confidence outside 0 to 1"),
 ]
 
 
@@ -112,7 +97,7 @@ def test_traces_and_mutations(spark, cases):
         change(t)
         rows.append((f"m{i}", json.dumps(t)))
     found = {r.trace_id: r.reason for r in traces.first_problems(spark.createDataFrame(rows, "trace_id string, trace string"), generate.PROMPT).collect()}
-    assert found["sound"] is None and found["none"] == found["broken"] == "incomplete conversation"
+    assert found["sound"] is None and found["none"] == found["broken"] == "fewer than three messages"
     for i, (_, reason) in enumerate(MUTATIONS):
         assert found[f"m{i}"] and reason in found[f"m{i}"], (i, reason, found[f"m{i}"])
 
@@ -122,7 +107,7 @@ def test_records(spark, cases):
     changed = [("ok", base), ("key", base.replace('"split"', '"extra":1,"split"')), ("split", base.replace('"train"', '"holdout"')), ("secret", base.replace("A synthetic", "/home/me/ A synthetic")), ("review", base.replace('"pending"', '"approved"'))]
     df = spark.createDataFrame(changed, "k string, trace string").select("k", traces.record_reason(F.col("trace"), ["train"]).alias("reason"))
     found = {r.k: r.reason for r in df.collect()}
-    assert found == {"ok": None, "key": "top-level fields differ from the schema", "split": "forbidden split", "secret": "possible secret or private path", "review": "review evidence does not fit its status"}
+    assert found == {"ok": None, "key": "the record has other fields", "split": "the split is not open to records", "secret": "possible secret or private path", "review": "the review's evidence is not that of its status"}
 
 
 NONE = {"kind": "none", "anchors": [], "axes": []}

@@ -18,7 +18,8 @@ def test_lines(spark, tmp_path):
     rows = records.read_strict(spark, str(good)).orderBy("nth").collect()
     assert [r.record for r in rows] == ['{"a":1}', '{"a":2}']
     assert records.typed(records.read_strict(spark, str(good)), "a long").agg(F.sum("a")).first()[0] == 3
-    assert records.line_digests(spark, str(good)).where(F.col("digest") == F.sha2(F.lit('{"a":1}\n'), 256)).count() == 1
+    (tmp_path / "lines.jsonl").write_text('{"a":1}\n{"a":2}\n')
+    assert records.line_digests(spark, str(tmp_path / "lines.jsonl")).where(F.col("digest") == F.sha2(F.lit('{"a":1}\n'), 256)).count() == 1
     for i, (bad, why) in enumerate([('{"a":1}\n[1]\n', "no object"), ('{"a":1,"a":2}\n', "twice"), ("{\n", "no JSON"), ("\n", "no records")]):
         p = tmp_path / f"bad{i}.jsonl"
         p.write_text(bad)
@@ -27,6 +28,24 @@ def test_lines(spark, tmp_path):
     assert records.read_lax(spark, str(tmp_path / "bad0.jsonl")).where("problem IS NOT NULL").count() == 1
 
 
+def test_strict_lines_are_numbered_and_ended(spark, tmp_path):
+    (tmp_path / "n.jsonl").write_text('\n{"a":1}\n\n{"a":2}\n[3]\n{"a":4}\n')
+    with pytest.raises(RuleError, match=r"n\.jsonl:5: no object"):
+        records.read_strict(spark, str(tmp_path / "n.jsonl"))
+    for name, text, why in (("open.jsonl", '{"a":1}\n{"a":2}', "no line feed"), ("blank.jsonl", '{"a":1}\n\n{"a":2}\n', "blank line")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(RuleError, match=why):
+            records.line_digests(spark, str(tmp_path / name))
+    (tmp_path / "crlf.jsonl").write_bytes(b'{"a":1}\r\n{"a":2}\r\n')
+    assert records.ends(spark, str(tmp_path / "crlf.jsonl")).count() == 0
+
+
+def test_manifests_as_text(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "z")], "k string, record string")
+    text = sinks.manifest_text(df, "k", F.col("record"))
+    assert text.endswith("}\n") and list(json.loads(text)) == ["a", "b"] and json.loads(text)["a"]["n"] == 2 and '\n  "a": {\n    "digest"' in text
+
+
 def test_pins_and_runs(spark, tmp_path):
     (tmp_path / "r.txt").write_text("# c\nNumPy==1.0\nb==2\nnumpy==1.1\nx>=3\n")
     found = records.pins(spark, str(tmp_path / "r.txt"))
