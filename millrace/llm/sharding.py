@@ -15,8 +15,8 @@ shard that fills a place takes from every other shard its share, and no row
 moves between the others; the number of shards alone decides the tree.
 
 Rows equal in key, bytes and CRC are merged before anything is shuffled and
-numbered together. What is broadcast is one count for each shard and bucket
-(4,096 a shard at most).
+numbered together. Their counts by shard and bucket, 4,096 a shard at most, are
+joined where the rows are already dealt out by both.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def assign(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("nth", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), ["shard", "bucket"]).withColumn("start", F.col("start") + F.col("nth"))
+    placed = rows.withColumn("nth", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "bucket"]).withColumn("start", F.col("start") + F.col("nth"))
     slot = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
 

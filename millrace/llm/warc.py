@@ -268,19 +268,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decoded(blocks: pd.Series) -> pd.DataFrame:
         out = []
         for b in blocks:
+            if b is None:
+                out.append((None, None))
+                continue
             try:
-                head, _, body = (b or b"").partition(b"\r\n\r\n")
+                head, _, body = b.partition(b"\r\n\r\n")
                 framed = b"\r\ntransfer-encoding: chunked" in head.lower()
                 out.append((dechunked(body) if framed else body, None))
             except ValueError as e:
                 out.append((None, f"chunked framing: {e}"))
         return pd.DataFrame(out, columns=["payload", "error"])
 
-    every = alone.union(joined)
-    whole = every.where("type = 'response' AND error IS NULL").withColumn("d", decoded("block"))
-    whole = whole.select("page_id", "uri", F.col("type").alias("record_type"), "refers_to", "digest", F.col("d.payload").alias("payload"), F.col("d.error").alias("error"))
-    rest = every.where("coalesce(type, '') <> 'response' OR error IS NOT NULL").select("page_id", "uri", F.col("type").alias("record_type"), "refers_to", "digest", F.lit(None).cast("binary").alias("payload"), "error")
-    return whole.union(rest)
+    sound = (F.col("type") == "response") & F.col("error").isNull()
+    every = alone.union(joined).withColumn("d", decoded(F.when(sound, F.coalesce("block", F.lit(b"")))))
+    return every.select("page_id", "uri", F.col("type").alias("record_type"), "refers_to", "digest", F.col("d.payload").alias("payload"), F.coalesce("error", "d.error").alias("error"))
 
 
 def resolved(rows: DataFrame) -> DataFrame:

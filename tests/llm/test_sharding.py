@@ -1,3 +1,5 @@
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -25,18 +27,38 @@ def test_contract(spark):
     assert len({(r["doc_id"], r["shard"]) for r in rows}) == len({r["doc_id"] for r in rows})
 
 
+def exponential(*parts):
+    return -math.log((int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+
+
+def descend(key, region):
+    rack = min((2 * region, 2 * region + 1), key=lambda r: exponential(key, "rack", r))
+    return min(range(4 * rack, 4 * rack + 4), key=lambda s: exponential(key, "shard", s))
+
+
+def shard_of(key, n):
+    """Where a key goes among n shards in racks of four and regions of eight, step by step."""
+    limit, region = min(((exponential(key, "region", r) / 8, r) for r in range(n // 8)), default=(math.inf, None))
+    drawn = 0.0
+    for nth in range(1, sharding.DRAWS + 1) if n % 8 else ():
+        again = key if nth == 1 else f"{key}|{nth}"
+        drawn += exponential(again, "region", n // 8) / 8
+        if drawn >= limit:
+            break
+        if (shard := descend(again, n // 8)) < n:
+            return shard
+    return descend(key, region) if region is not None else 0
+
+
 def test_one_more_shard_takes_rows_only_into_itself(spark):
-    keys = [str(i) for i in range(50)]
-    shards = [sharding.place(key_text("id"), sharding.layout(n)).cast("int").alias(f"s{n}") for n in range(1, 102)]
-    rows = []
-    for i in range(0, len(shards), 13):  # a plan of all would be a very large one
-        rows.append(spark.createDataFrame([(k,) for k in keys], "id string").select("id", *shards[i : i + 14]).toPandas().set_index("id"))
-    for part in rows:
-        for a, b in zip(part.columns, part.columns[1:]):
-            n = int(a[1:])
-            moved = part[a] != part[b]
-            assert set(part[b][moved]) <= {n} and part[a].between(0, n - 1).all()
-    for n in (39, 40, 41):  # what a growth foretells comes true
+    keys = [str(i) for i in range(400)]
+    at = {n: {k: shard_of(k, n) for k in keys} for n in range(1, 102)}
+    for n in range(1, 101):
+        moved = [k for k in keys if at[n][k] != at[n + 1][k]]
+        assert {at[n + 1][k] for k in moved} <= {n} and abs(len(moved) / len(keys) - 1 / (n + 1)) < 0.1
+    for n in (1, 5, 8, 13, 40, 41, 100):
+        assert placed(spark, sharding.layout(n), 400) == {int(k): s for k, s in at[n].items()}
+    for n in (39, 40):  # what a growth foretells comes true
         a, b = (sharding.assign(frame(spark), shards=m) for m in (n, n + 1))
         assert Counter(map(tuple, a.select("doc_id", "size", "text_crc32", "grown_shard").collect())) == Counter(map(tuple, b.select("doc_id", "size", "text_crc32", "shard").collect()))
 
