@@ -219,7 +219,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each node of the edges (a, b) reaches, for nodes that are no root themselves.
 
     A star's centre gets the least of its neighbours by a partial aggregate,
-    never a list of them. A round is kept in as many files as its edges, which
+    never a list of them. Rounds go on until no edge changes: their number grows
+    with the logarithm of the longest way, and edges become fewer. A round is kept in as many files as its edges, which
     are never more than in the round before, want.
     """
     edges = checkpoint(edges.select("a", "b"))
@@ -360,7 +361,11 @@ def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str
     """row (a digest of key and text), doc_id, fp, root, component_id: one row for each row of docs.
 
     With `similarity`, texts that share that much of their five-word shingles
-    are linked too.
+    are linked too. Fewer words than a shingle has are one shingle; no words
+    (null, empty, blank texts) give fingerprint 0, and no shingle set, so that
+    they resemble each other alone. Null ids count as no id. Repeated rows have
+    the same row, and come out as often as they went in; an empty table gives
+    no rows.
     """
     keyed = docs.select(row_key(docs, key, text).alias("row"), docs[key].alias("doc_id"), docs[text].alias("text"))
     rows = checkpoint(shingle_sets(keyed, words, similarity, "row", "doc_id") if similarity else fingerprints(keyed, words, "row", "doc_id"))

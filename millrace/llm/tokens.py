@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_path, small_batches, table
+from .common import checkpoint, delete_path, fresh_path, small_batches, table
 
 LIMIT = 1024
 #: Characters given to the encoder at a time, but for a single longer text.
@@ -103,10 +103,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache is a fresh one in the shared folder: every run encodes all distinct texts."""
+    """The cache is a fresh one in the shared folder, and goes when the counts are taken: every run encodes all distinct texts."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "token-cache"))
+    cache = fresh_path(spark, "token-cache")
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
+    delete_path(spark, cache)  # what is read of it stands in a checkpoint
+    return counted
 
 
 QUERIES = {"op8_tokens": op8_tokens}
