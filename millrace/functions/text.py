@@ -76,16 +76,32 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.transform(parts, stem))
 
 
+#: What a text that a pattern finds must have, one of them: looked for first, as most texts have none.
+LITERALS = {
+    "private_key": ["PRIVATE KEY-----"], "prefixed_token": ["sk_", "ghp_", "github_pat_"], "access_key": ["AKIA"], "vault_reference": ["op://"], "home_path": ["/Users/", "/home/"], "windows_home_path": [":\\Users\\"], "env_file": [".env"],
+    "assigned_token": ['token = "'], "email": ["@"],
+}
+
+
+def _matches(c: Column, name: str, pattern: str) -> Column:
+    """Whether the pattern is found; false for null."""
+    found = F.regexp_like(c, F.lit(pattern))
+    may = None
+    for x in LITERALS.get(name, []):
+        may = c.contains(x) if may is None else may | c.contains(x)
+    return F.coalesce(found if may is None else F.when(may, found), F.lit(False))
+
+
 def flags(c: Column, patterns: dict[str, str]) -> list[Column]:
     """A boolean column for each pattern, by its name; false for null."""
-    return [F.coalesce(F.regexp_like(c, F.lit(p)), F.lit(False)).alias(name) for name, p in patterns.items()]
+    return [_matches(c, name, p).alias(name) for name, p in patterns.items()]
 
 
 def leaks(c: Column) -> Column:
     """Whether a serialized record has a secret or a private path."""
     found = F.lit(False)
-    for p in (*SECRETS.values(), *PRIVATE_PATHS.values()):
-        found = found | F.coalesce(F.regexp_like(c, F.lit(p)), F.lit(False))
+    for name, p in {**SECRETS, **PRIVATE_PATHS}.items():
+        found = found | _matches(c, name, p)
     return found
 
 
