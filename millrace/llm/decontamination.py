@@ -89,11 +89,15 @@ def contained(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, thresho
     if not classes:
         return rows.select("_row", "doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared"), F.lit(0.0).alias("containment")).where("false")
     lengths = sorted({c["n"] for c in classes})
-    # Hashes of runs of several lengths lie in one array; should two be equal by chance, the pair is verified like any other.
-    every = F.concat(*[hashes(F.col("words"), n) for n in lengths])
     words = F.size("words")
     bound = F.greatest(*[F.when(words - c["n"] + 1 >= c["least"], c["bound"]) for c in classes], F.lit(-(1 << 63)))
-    hashed = rows.select("_row", words_of("text").alias("words")).select("_row", words.alias("n_words"), bound.alias("bound"), F.explode(every).alias("h")).where("h <= bound")
+    # Each place with the words from there on; the last ones lack some.
+    places = F.arrays_zip(*[F.slice("words", k + 1, F.greatest(words - k, F.lit(0))) for k in range(lengths[-1])])
+    at = rows.select("_row", words_of("text").alias("words")).select("_row", words.alias("n_words"), bound.alias("bound"), F.explode(places).alias("z"))
+    hash_of = lambda n: F.when(F.col("z")[str(n - 1)].isNotNull(), F.xxhash64(*[F.col("z")[str(k)] for k in range(n)]))
+    # Hashes of runs of several lengths are looked up alike; should two be equal by chance, the pair is verified like any other.
+    h = hash_of(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*[hash_of(n) for n in lengths]))
+    hashed = at.select("_row", "n_words", "bound", h.alias("h")).where("h <= bound").drop("bound")
     lookup = bounded(checkpoint(sketched.select("_item", "n", "needed", F.explode("sketch").alias("h"))))
     candidates = checkpoint(hashed.join(lookup, "h").where("n_words - n + 1 >= needed").select("_row", "_item").distinct())
     whole = sketched.select("_item", "item_id", "n", "size", "needed", "shingles")
