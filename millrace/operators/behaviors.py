@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..functions.jsonx import items
 from . import arguments as A
 from .cases import payload_state
-from .rules import Rule, first_reason
+from .rules import Rule, first_reason, let
 
 #: The behaviours, what an intent of the first says, and the arguments that each route of an entity takes.
 CANONICAL, RETRY, COMPLETE, ABSTAIN, RECOVER, AMBIGUOUS = "canonical-argument-preservation", "one-tool-operation-per-turn", "complete-proposal-json", "structured-json-abstention", "synthetic-tool-error-recovery", "ambiguous-intent-mapping"
@@ -128,6 +128,10 @@ def trace_parts(text: Column) -> Column:
 
 def trace_reason(parts: Column) -> Column:
     """Why the conversation of a trace (as trace_parts gives it) is not its behaviour's."""
+    return let(parts, _trace_reason)
+
+
+def _trace_reason(parts: Column) -> Column:
     turns, calls, final = parts["turns"], parts["calls"], parts["final"]
     n = F.size(calls)
     pairs = F.forall(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: _yes((jsonx.string(F.get(turns, 2 * i), "$.role") == "assistant") & items(F.get(turns, 2 * i), "$.toolCalls").isNotNull() & (jsonx.string(F.get(turns, 2 * i + 1), "$.role") == "tool")))
@@ -153,6 +157,10 @@ def entity_reason(behavior: Column, arguments: Column, content: Column) -> Colum
 
 def entity_trace_reason(parts: Column) -> Column:
     """Why a trace (as trace_parts gives it) of an entity's route is not one search with its answer."""
+    return let(parts, _entity_trace_reason)
+
+
+def _entity_trace_reason(parts: Column) -> Column:
     turns = parts["turns"]
     shape = (F.size(turns) == 3) & (jsonx.string(F.get(turns, F.lit(0)), "$.role") == "assistant") & (jsonx.string(F.get(turns, F.lit(1)), "$.role") == "tool")
     one = F.size(items(F.get(turns, F.lit(0)), "$.toolCalls")) == 1
@@ -161,8 +169,10 @@ def entity_trace_reason(parts: Column) -> Column:
 
 def case_reason(text: Column) -> Column:
     """Why a case (JSON text) is not its behaviour's: its script, what it expects, and what behaviour and entity ask of both."""
-    v = jsonx.variant(text)
-    script = items(v, "$.script")
+    return let(jsonx.variant(text), lambda v: let(F.struct(v.alias("v"), items(v, "$.script").alias("script")), lambda x: _case_reason(x["v"], x["script"])))
+
+
+def _case_reason(v: Column, script: Column) -> Column:
     args, found = F.transform(script, lambda s: _sub(s, "$.arguments")), F.transform(script, lambda s: _sub(s, "$.result"))
     axis, n = jsonx.string(v, "$.axis"), F.size(script)
     every = lambda holds: F.forall(script, lambda s: _yes(holds(s)))
@@ -211,19 +221,28 @@ def current_trace_reason(text: Column, capabilities: list[str], prompt: str, end
     keep one date meaning; picks carry keys that were surfaced; a fault is
     there in its own capability and nowhere else; the review is pending.
     """
-    v = jsonx.variant(text)
-    m = items(v, "$.messages")
+
+    def taken_apart(v: Column) -> Column:
+        m = items(v, "$.messages")
+        return F.struct(v.alias("v"), m.alias("m"), jsonx.variant(jsonx.string(F.get(m, F.size(m) - 1), "$.content")).alias("final"))
+
+    def with_turns(x: Column) -> Column:
+        n, m = F.size(x["m"]), x["m"]
+        body = F.slice(m, F.lit(1), F.greatest(n - 2, F.lit(0)))
+        pairs = F.zip_with(body, F.slice(m, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda a, b: F.struct(a.alias("t"), b.alias("next")))
+        turns = F.filter(pairs, lambda p: _yes(jsonx.string(p["t"], "$.role") == "assistant") & _yes(F.array_contains(_keys(p["t"]), "toolCalls")))
+        return let(turns, lambda t: F.struct(x.alias("x"), t.alias("turns"), F.transform(t, lambda p: payload_state(jsonx.string(p["next"], "$.content"))).alias("state")))
+
+    return let(let(let(jsonx.variant(text), taken_apart), with_turns), lambda p: _current_trace_reason(text, p["x"]["v"], p["x"]["m"], p["x"]["final"], p["turns"], p["state"], capabilities, prompt, end))
+
+
+def _current_trace_reason(text: Column, v: Column, m: Column, final: Column, turns: Column, state: Column, capabilities: list[str], prompt: str, end: str) -> Column:
     n, axis = F.size(m), jsonx.string(v, "$.axes[0]")
-    body = F.slice(m, F.lit(1), F.greatest(n - 2, F.lit(0)))
-    numbered = F.zip_with(body, F.slice(m, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda a, b: F.struct(a.alias("t"), b.alias("next")))
-    turns = F.filter(numbered, lambda x: _yes(jsonx.string(x["t"], "$.role") == "assistant") & _yes(F.array_contains(_keys(x["t"]), "toolCalls")))
     call = lambda x: _sub(x["t"], "$.toolCalls[0]")
     args = lambda x: _sub(x["t"], "$.toolCalls[0].arguments")
     every = lambda holds: F.forall(turns, lambda x: _yes(holds(x)))
-    state = F.transform(turns, lambda x: payload_state(jsonx.string(x["next"], "$.content")))
     meaning = F.get(F.transform(turns, lambda x: _meaning(args(x))), F.lit(0))
     fault = F.exists(state, lambda s: s["injected"] & s["observed"])
-    final = jsonx.variant(jsonx.string(F.get(m, n - 1), "$.content"))
     keys = F.flatten(F.transform(state, lambda s: s["keys"]))
     picked = F.transform(items(final, "$.picks"), lambda p: F.coalesce(jsonx.string(p, "$.key"), F.lit("")))
     return first_reason([
@@ -251,19 +270,29 @@ def current_trace_reason(text: Column, capabilities: list[str], prompt: str, end
 
 def approved_trace_reason(text: Column, capabilities: list[str], prompt: str) -> Column:
     """Why an approved trace is refused: its review, then whatever it would be refused for while pending."""
-    v = jsonx.variant(text)
+    return let(jsonx.variant(text), lambda v: _approved_trace_reason(v, capabilities, prompt))
+
+
+def _approved_trace_reason(v: Column, capabilities: list[str], prompt: str) -> Column:
     review = _sub(v, "$.review")
     at = jsonx.string(review, "$.reviewedAt")
     evidence = _only(review, ["status", "reviewer", "reviewedAt", "notes"]) & (jsonx.string(review, "$.status") == "approved") & (jsonx.string(review, "$.reviewer") != "") & F.regexp_like(at, F.lit(r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?Z\z")) & jsonx.string(review, "$.notes").isNotNull()
     pending = F.replace(F.to_json(v), F.concat(F.lit('"review":'), F.to_json(review)), F.lit(f'"review":{PENDING}'))
-    return F.coalesce(first_reason([Rule("an approval without evidence", evidence)]), current_trace_reason(pending, capabilities, prompt))
+    return F.coalesce(first_reason([Rule("an approval without evidence", evidence)]), let(pending, lambda t: current_trace_reason(t, capabilities, prompt)))
 
 
 def current_case_reason(text: Column, capabilities: list[str]) -> Column:
     """Why a case (JSON text) of the dated contract is refused: envelope, script, one date meaning, grounded keys, faults in their place."""
-    v = jsonx.variant(text)
-    script, axis = items(v, "$.script"), jsonx.string(v, "$.axis")
-    state = F.transform(script, lambda s: payload_state(F.coalesce(jsonx.string(s, "$.result"), _json(s, "$.result"))))
+
+    def taken_apart(v: Column) -> Column:
+        script = items(v, "$.script")
+        return F.struct(v.alias("v"), script.alias("script"), F.transform(script, lambda s: payload_state(F.coalesce(jsonx.string(s, "$.result"), _json(s, "$.result")))).alias("state"))
+
+    return let(let(jsonx.variant(text), taken_apart), lambda p: _current_case_reason(text, p["v"], p["script"], p["state"], capabilities))
+
+
+def _current_case_reason(text: Column, v: Column, script: Column, state: Column, capabilities: list[str]) -> Column:
+    axis = jsonx.string(v, "$.axis")
     meaning = F.get(F.transform(script, lambda s: _meaning(_sub(s, "$.arguments"))), F.lit(0))
     every = lambda holds: F.forall(script, lambda s: _yes(holds(s)))
     expected = _sub(v, "$.expectation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,11 @@ class RuleError(ValueError):
     """A table that breaks a rule, in strict use."""
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f looks at it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def broken(rule: Rule) -> Column:
     return ~F.coalesce(rule.holds, F.lit(False))
 
