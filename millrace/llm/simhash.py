@@ -376,7 +376,8 @@ def classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, key: str
         found = found.union(resembling(rows, keyed.select("row", "text"), similarity, found))
     stars = components(found)
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Kept apart from the join, so that Spark can split a component of very many fingerprints over several tasks there.
+    ids = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     return rows.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select("row", "doc_id", "fp", "root", "component_id")
 
 
