@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontamination, licenses, mixing, quality_rules, secrets, sharding, simhash, tokens, warc
+from . import alignment, compression_quality, decontamination, licenses, mixing, nearest, quality_rules, secrets, sharding, simhash, spelling, tokens, warc
 
-MODULES = (sharding, simhash, warc, decontamination, compression_quality, mixing, secrets, tokens, licenses, quality_rules)
+MODULES = (sharding, simhash, warc, decontamination, compression_quality, mixing, secrets, tokens, licenses, quality_rules, spelling, nearest, alignment)
 
 
 def queries() -> dict:
