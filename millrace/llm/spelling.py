@@ -124,9 +124,9 @@ def edited(words: DataFrame, edges: DataFrame) -> DataFrame:
     rest = F.col("rest")
     # The next three letters as code points, 0 past the end, in one number: what is tried against each edge are numbers alone.
     heads = sum((F.ascii(cut(rest, i, 1)).cast("long") * (1 << 21 * i) for i in range(1, 3)), F.ascii(cut(rest, 0, 1)).cast("long"))
-    walked = zero.withColumns({"heads": heads, "r": F.length(rest)}).join(edges, "node")
+    walked = zero.withColumn("heads", heads).join(edges, "node")
     first, second, third = (F.call_function("shiftright", F.col("heads"), F.lit(21 * i)).bitwiseAND(F.lit((1 << 21) - 1)).cast("int") for i in range(3))
-    letter, r = F.col("letter"), F.col("r")
+    letter, r = F.col("letter"), F.length(rest)
 
     def fits(used: int, after: Column) -> Column:
         """Whether some word below the child has the rest's length and begins as it does, once `used` letters are spent."""
@@ -151,12 +151,12 @@ def neighbours(words: DataFrame) -> DataFrame:
     edges, jumps = trie(words)
     states = edited(words, edges)
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    going = F.col("rest") != ""
+    rest, going = F.col("rest"), F.col("rest") != ""
     for _ in range(max(1, (longest // 2 + 1).bit_length() - FEW.bit_length() + 2)):
-        # What is at an end goes along under a key of its own.
-        keyed = states.withColumn("key", F.when(going, _jump_key(F.col("node"), F.col("rest"))).otherwise(F.xxhash64("id", "node")))
-        states = keyed.join(jumps, "key", "left").where(~going | F.col("child").isNotNull())
-        states = states.select("id", F.when(going, F.col("child")).otherwise(F.col("node")).alias("node"), F.when(going, cut(F.col("rest"), _jump(F.length("rest")))).otherwise(F.col("rest")).alias("rest"))
+        # What is at an end goes along under a key of its own. A key tells all of what is not: only what is left behind the jump goes with it.
+        keyed = states.select("id", going.alias("going"), F.when(going, _jump_key(F.col("node"), rest)).otherwise(F.xxhash64("id", "node")).alias("key"), F.when(~going, F.col("node")).alias("node"), cut(rest, _jump(F.length(rest))).alias("rest"))
+        states = keyed.join(jumps, "key", "left").where("NOT going OR child IS NOT NULL")
+        states = states.select("id", F.when(F.col("going"), F.col("child")).otherwise(F.col("node")).alias("node"), "rest")
     ways = F.explode(F.array(_node(F.lit(0), F.col("word")), _node(F.lit(1), F.reverse("word"))))
     ends = words.select(ways.alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     found = states.select("id", "node").join(ends, "node").join(words.select(F.xxhash64("word").alias("id"), "word"), "id")
