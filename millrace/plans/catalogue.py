@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, planted, results
+from . import corpus, evaluation, exact, planted, results
 
-QUERIES = {**corpus.QUERIES, **results.QUERIES, **evaluation.QUERIES, **planted.QUERIES}
-ORACLES = {**corpus.ORACLES, **results.ORACLES, **evaluation.ORACLES, **planted.ORACLES}
+QUERIES = {**corpus.QUERIES, **results.QUERIES, **exact.QUERIES, **evaluation.QUERIES, **planted.QUERIES}
+ORACLES = {**corpus.ORACLES, **results.ORACLES, **exact.ORACLES, **evaluation.ORACLES, **planted.ORACLES}

@@ -163,7 +163,7 @@ SELECT a.user_id, count(*) AS n FROM s a JOIN s b ON a.user_id = b.user_id AND a
 def overlap_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint")
     spans = read(spark, sf_dir, "events").select("user_id", "event_id", start.alias("s"), (start + F.floor(F.col("value") * 60).cast("bigint")).alias("e")).toDF("user_id", "event_id", "begins", "ends")
-    return intervals.overlaps(spans, "user_id", "event_id", "begins", "ends", 3600).groupBy("user_id").agg(F.count("*").alias("n"))
+    return intervals.overlaps(spans, "user_id", "event_id", "begins", "ends").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT floor(CAST(props->>'k' AS BIGINT) / 25.0)::BIGINT AS tier, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
