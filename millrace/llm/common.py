@@ -80,8 +80,13 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def row_key(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Column:
-    """128 bits that only rows with the same key and text share."""
-    return F.md5(F.concat_ws("|", key_text(docs[key]), F.coalesce(docs[text], F.lit(""))))
+    """128 bits that only rows with the same key and text share.
+
+    The parts are hashed with their lengths, nulls as nulls: no two rows with
+    different parts are hashed as one text.
+    """
+    said = lambda c: F.coalesce(F.concat(F.octet_length(docs[c].cast("string")).cast("string"), F.lit(":"), docs[c].cast("string")), F.lit("-"))
+    return F.md5(F.concat(said(key), said(text)))
 
 
 #: Rows of some 40 bytes that may be broadcast.

@@ -42,6 +42,8 @@ UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14})(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,14}))*[+/_=-]*")
 #: Names in camel case: words of three letters or more.
 CAMEL = re.compile(r"[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
+#: The words of an identifier.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=2)
@@ -54,14 +56,26 @@ def encoding(path: str, pattern: str):
 
 
 def looks_random(run: str, enc, ratio: float = RATIO) -> bool:
-    """Whether a run is no known digest or identifier and takes a token for less than `ratio` characters; numbers alone are identifiers."""
+    """Whether a run is no known digest or identifier and takes a token for less than `ratio` characters; numbers alone are identifiers.
+
+    Names, paths and words joined by signs are identifiers if each of their
+    words is one token or passes the ratio itself: random letters of one case
+    look like a word, but do not pass.
+    """
     if not re.search("[A-Za-z]", run):
         return False
-    if DIGEST.fullmatch(run) or SRI.fullmatch(run) or UUID.fullmatch(run.strip("-_=/+")) or IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
+    if DIGEST.fullmatch(run) or SRI.fullmatch(run) or UUID.fullmatch(run.strip("-_=/+")):
         return False
-    # The encoder takes long time for one long run without breaks; pieces of 256 characters have the same ratio but for their ends.
-    tokens = sum(len(enc.encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
-    return len(run) < ratio * tokens
+    if IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run):
+        counted = ((len(word), tokens_of(word, enc)) for word in PART.findall(run))
+        if all(n == 1 or size >= ratio * n for size, n in counted):
+            return False
+    return len(run) < ratio * tokens_of(run, enc)
+
+
+def tokens_of(run: str, enc) -> int:
+    """A run's tokens. The encoder takes long time for one long run without breaks; pieces of 256 characters have the same ratio but for their ends."""
+    return sum(len(enc.encode_ordinary(run[i : i + 256])) for i in range(0, len(run), 256))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import public_tokenizers
@@ -46,6 +47,20 @@ def test_token_efficiency():
     assert not any(said[t] for t in TEXTS[20:])
 
 
+def test_random_strings_of_each_alphabet():
+    enc, draw = s.encoding(*VOCABULARY), random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters in (lower, upper, lower + upper, lower + upper + digits, lower + digits, upper + "234567", lower + upper + digits + "+/"):
+        runs = ["".join(draw.choice(letters) for _ in range(24)) for _ in range(500)]
+        assert sum(s.looks_random(r, enc) for r in runs) >= 495, letters
+
+
+def test_names_are_no_secrets():
+    enc = s.encoding(*VOCABULARY)
+    names = ["https_client_connection_pool", "usr/local/lib/python/packages", "internationalization", "AbstractConfigurationFactory", "MAX_CONNECTIONS_PER_HOST", "thequickbrownfoxjumpsover", "2024-01-02_backup_production", "responsibilities-of-government", "org/apache/commons/logging", "getElementsByTagNameOrClass"]
+    assert not [x for x in names if s.looks_random(x, enc)]
+
+
 def test_other_rows(spark):
     assert s.scan(frame(spark), *VOCABULARY).count() == len(documents())
     assert s.scan(frame(spark, []), *VOCABULARY).count() == 0

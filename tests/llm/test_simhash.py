@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import golay, simhash
+from millrace.llm.common import row_key
 
 from .fixtures import documents, frame, prose
 
@@ -208,3 +209,13 @@ def test_a_prefix_meets_whatever_is_similar():
         if len(x & y) >= 0.8 * len(x | y):
             p, q = (simhash.prefix_of(np.array(sorted(s), dtype=np.uint64), common, often, 0.8)[0] for s in (x, y))
             assert set(p.tolist()) & set(q.tolist())
+
+
+def test_rows_whose_parts_run_into_each_other_stay_apart(spark):
+    text = prose(60, 3)
+    rows = [("a|b", text), ("a", "b|" + prose(60, 9)), ("a", "b|" + text), (None, prose(50, 4)), ("null", prose(50, 4) + " more of it"), ("x", None), ("x", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert docs.select(row_key(docs)).distinct().count() == len(rows)
+    kept = simhash.distinct_documents(docs, simhash.classes(docs))
+    roots = simhash.classes(docs).select("root").distinct().count()
+    assert kept.count() == roots
