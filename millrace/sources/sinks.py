@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..operators import review
+from . import files
 
 
 def canonical_lines(df: DataFrame, record: str = "record", ascii_only: bool = False) -> DataFrame:
@@ -21,17 +22,34 @@ def write_lines(df: DataFrame, path: str, record: str = "record", ascii_only: bo
     canonical_lines(df, record, ascii_only).write.mode("errorifexists").text(path)
 
 
+def fingerprint(columns: list[str]) -> list[Column]:
+    """rows, digest: a count and an order-free digest of rows, 60 bits of each row's SHA-256 summed up."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    bits = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("digest")]
+
+
 def publish(df: DataFrame, path: str) -> dict[str, int]:
-    """An immutable table: written once, read back, and held against what was to be written.
+    """An immutable table: staged beside its place, read back, held against what was written, and then given its name.
 
-    Returns the number of rows; the differences are an error.
+    The input is computed once: its count and digest are taken by the pass that
+    writes it. What differs, or a name that is taken, is an error, and leaves
+    nothing behind. Returns the number of rows.
     """
-    df.write.mode("errorifexists").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    off = review.coverage(df, back).first()
-    if off["missing"] or off["surplus"]:
-        raise ValueError(f"{path} does not hold what was published: {off['missing']} rows missing, {off['surplus']} surplus")
-    return {"rows": back.count()}
+    spark, staged = df.sparkSession, files.beside(path)
+    if files.names(spark, path):
+        raise FileExistsError(path)
+    told = Observation()
+    try:
+        df.observe(told, *fingerprint(df.columns)).write.mode("errorifexists").parquet(staged)
+        back = spark.read.parquet(staged).agg(*fingerprint(df.columns)).first().asDict()
+        if back != told.get:
+            raise ValueError(f"{path} would not hold what was to be published: {told.get['rows']} rows written, {back['rows']} read, or others")
+        if not files.place(spark, staged, path):
+            raise FileExistsError(path)
+    finally:
+        files.delete(spark, staged)
+    return {"rows": back["rows"]}
 
 
 def stale(fresh: DataFrame, path: str) -> DataFrame:
