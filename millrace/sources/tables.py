@@ -14,21 +14,28 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the folder that spark.checkpoint.dir names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
 
     Where the setting is absent, a local master gets a temporary folder that
     goes when Python ends; a cluster gets a folder in its warehouse.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        if sc.master == "local" or sc.master.startswith("local["):
-            path = tempfile.mkdtemp(prefix="millrace-")
-            atexit.register(shutil.rmtree, path, ignore_errors=True)
-        else:
-            path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(path)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
+    if sc.master == "local" or sc.master.startswith("local["):
+        path = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    else:
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Compute df once and keep it in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
