@@ -1,11 +1,11 @@
-"""Queries whose operators keep bounded state where one key may hold everything: quantiles, spans of any length, hash trees."""
+"""Queries whose operators keep bounded state where one key may hold everything: quantiles, spans of any length, hash trees, nested values."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, merkle, quantiles
+from ..operators import intervals, merkle, quantiles, walk
 from ..sources.tables import read
 
 QUERIES, ORACLES = {}, {}
@@ -85,3 +85,31 @@ def merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = merkle.root(nodes).first()
     told = merkle.proved(leaves, merkle.proofs(nodes, leaves), top["level"] if top else 0)
     return told.select("place", (F.col("digest") == F.lit(top["digest"] if top else "")).alias("holds"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, CAST(props->>'k' AS VARCHAR) AS k FROM events),
+said AS (
+  SELECT '$.kind' AS path, 'kind' AS key, event_type AS value, false AS protected FROM e
+  UNION ALL SELECT '$.private.kind', 'kind', event_type, true FROM e
+  UNION ALL SELECT '$.list[1]', 'list', event_type || k, false FROM e
+  UNION ALL SELECT '$.told', 'told', '{"inner":["' || event_type || '"],"private":"' || k || '"}', false FROM e
+  UNION ALL SELECT '$.told~.inner[0]', 'inner', event_type, false FROM e
+  UNION ALL SELECT '$.told~.private', 'private', k, true FROM e)
+SELECT path, key, protected, count(*) AS n, count(DISTINCT value) AS texts, min(value) AS least, max(value) AS most FROM said GROUP BY 1, 2, 3""")
+def nested_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strings of nested records made of events, one of which is a record itself, with the path, name and protection of each."""
+    k = F.get_json_object("props", "$.k")
+    told = F.concat(F.lit('{"inner":["'), "event_type", F.lit('"],"private":"'), k, F.lit('"}'))
+    record = F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(F.col("event_type").alias("kind"), F.lit(5).alias("n")).alias("private"), F.array(F.lit(None).cast("string"), F.concat("event_type", k)).alias("list"), told.alias("told")))
+    rows = read(spark, sf_dir, "events").select("event_id", record.alias("record"))
+    found = walk.leaves(rows, "event_id", "record", ["private"])
+    return found.groupBy("path", "key", "protected").agg(F.count("*").alias("n"), F.countDistinct("value").alias("texts"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("""SELECT event_type, CAST(sum(CASE WHEN props->>'k' IS NULL THEN 0 WHEN event_id % 2 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS n FROM events GROUP BY 1 HAVING n > 0""")
+def nested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a name stands in records, whose depth varies."""
+    record = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"k": [{"deep": ['), "props", F.lit(', 1]}], "other": {"k": null}}'))).otherwise(F.col("props"))
+    events = read(spark, sf_dir, "events").withColumn("record", record)
+    counts = walk.name_counts(events, "event_id", "record", ["k"])
+    return events.join(counts, F.col("event_id") == F.col("id")).groupBy("event_type").agg(F.sum("n").alias("n"))
