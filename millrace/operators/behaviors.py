@@ -197,7 +197,7 @@ def _case_reason(v: Column, script: Column) -> Column:
         Rule("a result has candidates and an error at most", every(lambda s: F.size(F.array_except(_keys(_sub(s, "$.result")), F.lit(["candidates", "error"]))) == 0)),
         Rule("a candidate is incomplete, or not marked as synthetic", _yes(F.forall(shown, lambda c: _yes(whole(c))))),
         Rule("an expected identity is none", identity(wanted) & identity(banned)),
-        Rule("expectation references an unscripted id", within(wanted) & within(banned)),
+        Rule("an id is expected that no step returns", within(wanted) & within(banned)),
         Rule("an id is both wanted and forbidden", F.size(F.array_intersect(named(wanted), named(banned))) == 0),
         Rule("abstention is expected where ids are, or not where none is", abstain == (F.size(wanted) == 0)),
         Rule("the calls allowed are not the script's", jsonx.integer(v, "$.expectation.maxToolCalls") == n),
@@ -303,14 +303,14 @@ def _current_case_reason(text: Column, v: Column, script: Column, state: Column,
     return first_reason([
         Rule("no development case of version 1", (jsonx.integer(v, "$.schemaVersion") == 1) & (jsonx.string(v, "$.split") == "development-eval")),
         Rule("not a known capability", axis.isin(capabilities)),
-        Rule("development script is empty", F.size(script) > 0),
+        Rule("a development case has no script", F.size(script) > 0),
         Rule("a search breaks the contract", every(lambda s: A.dated_search_reason(_json(s, "$.arguments")).isNull())),
         Rule("the script changed the date meaning", every(lambda s: _meaning(_sub(s, "$.arguments")) == meaning)),
         Rule("a result is no payload", F.forall(state, lambda s: s["problem"].isNull())),
         Rule("another date meaning is expected", _meaning(expected) == meaning),
         Rule("expected keys are no lists", listed("selectedKeys").isNotNull() & listed("forbiddenKeys").isNotNull()),
         Rule("an expected key is not surfaced, or is forbidden", _grounded(F.flatten(F.transform(state, lambda s: s["keys"])), listed("selectedKeys")) & (F.size(F.array_intersect(listed("selectedKeys"), listed("forbiddenKeys"))) == 0)),
-        Rule("recovery case lacks observed fault evidence", (axis != FAULT) | (fault & (F.size(script) >= 2) & flag("faultInjected") & flag("faultObserved"))),
+        Rule("no fault was seen that the case recovers from", (axis != FAULT) | (fault & (F.size(script) >= 2) & flag("faultInjected") & flag("faultObserved"))),
         Rule("a fault outside the recovery capability", (axis == FAULT) | (~fault & ~_yes(told))),
         Rule("possible secret or private path", ~T.leaks(text)),
     ])

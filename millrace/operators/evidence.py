@@ -24,7 +24,7 @@ def envelope_reason(response: Column, model: Column, provider: Column) -> Column
         Rule("another provider than pinned", said.isNull() | (said == provider)),
         Rule("not exactly one choice", F.size(items(v, "$.choices")) == 1),
         *[Rule(f"invalid {k}", usage(k) >= 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens", "cost")],
-        Rule("usage total is inconsistent", usage("total_tokens") >= usage("prompt_tokens") + usage("completion_tokens")),
+        Rule("the usage does not add up to its total", usage("total_tokens") >= usage("prompt_tokens") + usage("completion_tokens")),
     ])
 
 

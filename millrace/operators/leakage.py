@@ -24,7 +24,8 @@ def owners(df: DataFrame, key: str, row: str, order: str) -> DataFrame:
     key that many rows share is one row on that side.
     """
     df = checkpoint(df.select(key, row, *([order] if order != row else [])))  # keys are often digests of texts, made once
-    first = df.groupBy(key).agg(F.min_by(row, order).alias("owner"), F.count("*").alias("n")).where("n > 1").select(key, "owner")
+    # Kept apart from the join, so that Spark can split a key that very many rows share over several tasks there.
+    first = checkpoint(df.groupBy(key).agg(F.min_by(row, order).alias("owner"), F.count("*").alias("n")).where("n > 1").select(key, "owner"))
     return df.select(key, row).join(first, key).where(F.col(row) != F.col("owner")).select(row, "owner")
 
 

@@ -45,8 +45,8 @@ def derived(decisions: DataFrame, item: str = "item") -> DataFrame:
     """
     second = F.col("required") & F.col("secondary").isin(*SETTLED)
     problem = (
-        F.when(second & (F.col("primary_reviewer") == F.col("secondary_reviewer")), "primary and secondary reviewers must differ")
-        .when(second & ~F.coalesce(F.col("secondary_at") > F.col("primary_at"), F.lit(False)), "secondary review must follow primary review")
+        F.when(second & (F.col("primary_reviewer") == F.col("secondary_reviewer")), "both reviews are by one person")
+        .when(second & ~F.coalesce(F.col("secondary_at") > F.col("primary_at"), F.lit(False)), "the second review is not after the first")
         .when(~F.col("required") & (F.coalesce("secondary_reviewer", F.lit("")) != ""), "a secondary review that is not required has evidence")
     )
     return decisions.withColumn("problem", problem).withColumn("status", F.when(problem.isNull(), consensus(F.col("primary"), F.col("secondary"), F.col("required"))))
@@ -96,8 +96,8 @@ def decision_reason(decision: Column, required: Column) -> Column:
         Rule("unknown verdict", text("primary", "verdict").isin("pending", *SETTLED) & F.when(required, text("secondary", "verdict").isin("pending", *SETTLED)).otherwise(text("secondary", "verdict") == "not-required")),
         Rule("a settled verdict needs a reviewer and a UTC time", sound("primary") & sound("secondary")),
         Rule("a pending verdict carries evidence", (settled("primary") | ~evidence("primary")) & (settled("secondary") | ~evidence("secondary"))),
-        Rule("primary and secondary reviewers must differ", ~second | (text("primary", "reviewer") != text("secondary", "reviewer"))),
-        Rule("secondary review must follow primary review", ~second | (at("secondary") > at("primary"))),
+        Rule("both reviews are by one person", ~second | (text("primary", "reviewer") != text("secondary", "reviewer"))),
+        Rule("the second review is not after the first", ~second | (at("secondary") > at("primary"))),
     ])
 
 

@@ -95,7 +95,7 @@ def problems(traces: DataFrame, prompt: str, declared: list[str] | None = None,
     known = F.when(role == "assistant", has_calls | is_text).when(role == "user", is_text).otherwise(role == "tool")
     turn = jsonx.closed(F.to_json(m), ["role", "toolCalls"]) & (F.size(items(m, "$.toolCalls")) > 0)
     wrong = say(
-        rows, at, (1, (at == 0) & no(first), "first message differs from the frozen system prompt"), (2, (at == 1) & no(intent), "no intent in second place"),
+        rows, at, (1, (at == 0) & no(first), "the conversation begins with another system prompt"), (2, (at == 1) & no(intent), "no intent in second place"),
         (3, (at > 1) & no(known), "a message of no known form"), (4, (at > 1) & (role == "assistant") & has_calls & no(turn), "a turn of calls with other fields"),
     )
 

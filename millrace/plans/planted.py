@@ -63,7 +63,7 @@ planted("search_rules", "Arguments of searches before they run.", [
     ({"query": "x@", "era": "1980s"}, "title query mixed with filters"), ({"media_type": "movie"}, "nothing to search by"), ({"query": "  "}, "the title is blank"), ({"genres": []}, "genres is not of its kind"), ({"genres": ["a@", " "]}, "genres is not of its kind"),
     ({"keywords": "k@"}, "keywords is not of its kind"), ({"genres": ["a"], "media_type": "book@"}, "media_type is not of its kind"), ({"era": "1980 to 1989"}, None), ({"era": "1880s"}, "era is not of its kind"), ({"original_language": "eng"}, "original_language is not of its kind"), ({"origin_country": "U1"}, "origin_country is not of its kind"),
     ({"runtime_min": True}, "runtime_min is not of its kind"), ({"runtime_max": 1441}, "runtime_max is not of its kind"), ({"vote_count_min": "@"}, "vote_count_min is not of its kind"), ({"runtime_min": 90, "runtime_max": 80}, "the least runtime is above the greatest"), ({"vote_average_min": 10.5}, "vote_average_min is not of its kind"),
-    ({"network": "N@", "media_type": "series"}, None), ({"network": "N@"}, "network requires media_type series"), (PERSON, None), ({"cast": ["a@", "A@ "], "media_type": "movie"}, "cast names someone twice"), ({"cast": ["a@"] * 5, "media_type": "movie"}, "cast is not of its kind"),
+    ({"network": "N@", "media_type": "series"}, None), ({"network": "N@"}, "a network is asked for without series"), (PERSON, None), ({"cast": ["a@", "A@ "], "media_type": "movie"}, "cast names someone twice"), ({"cast": ["a@"] * 5, "media_type": "movie"}, "cast is not of its kind"),
     ({"creators": ["c@"]}, "people of other media than movies"), ({"network": "N", "cast": ["a@"], "media_type": "series"}, "network and person constraints at once"),
 ], lambda a: A.search_reason(a))
 planted("declared_searches", "Arguments that the tool's own declaration does not have.", [({"era": "80s"}, "an argument is not declared by target contract"), ({"query": "x@"}, None)], lambda a: A.search_reason(a, ["query"]))
@@ -71,7 +71,7 @@ planted("scored_searches", "The scorer's own rule of searches.", [
     ({"genres": ["a@"], "keywords": ["b"]}, False), ({"era": "1980s"}, False), ({"genres": ["a@"], "era": "whenever"}, True), ({"query": "x@"}, True), ({"query": "x", "runtime_min": 1}, False), ({"genres": ["a"], "original_language": " en"}, False), ({"keywords": ["k@"], "vote_average_min": 0}, False),
 ], A.scored_search_valid)
 planted("dated_searches", "Searches that carry a date meaning.", [
-    ({"dateMeaning": NONE, "genres": ["x@"]}, None), ({"genres": ["x@"]}, "dateMeaning is required"), ({"dateMeaning": NONE, "era": "80s"}, "era is no argument any more"), ({"dateMeaning": NONE, "tmdbId": 1}, "ids of other catalogs are no arguments"), ({"dateMeaning": NONE, "n@": 1}, "unsupported tool arguments"),
+    ({"dateMeaning": NONE, "genres": ["x@"]}, None), ({"genres": ["x@"]}, "dateMeaning is required"), ({"dateMeaning": NONE, "era": "80s"}, "era is no argument any more"), ({"dateMeaning": NONE, "tmdbId": 1}, "ids of other catalogs are no arguments"), ({"dateMeaning": NONE, "n@": 1}, "the tool takes other arguments"),
     ({"dateMeaning": NONE, "mode": "collection"}, "a collection without titles"), ({"dateMeaning": NONE, "mode": "collection", "titles": ["a@"]}, "a collection of no kind of media"), ({"dateMeaning": NONE, "mode": "collection", "titles": ["a@"], "media_type": "movie"}, None),
     ({"dateMeaning": NONE, "mode": "collection", "titles": ["a"], "media_type": "movie", "genres": ["@"]}, "a collection with filters"), ({"dateMeaning": NONE, "titles": ["a@"]}, "titles without a collection"), ({"dateMeaning": {**NONE, "kind": 1}}, "a date meaning's kind or lists are none"),
     ({"dateMeaning": NONE, "network": "n@"}, "a network of other media than series"), ({"dateMeaning": NONE, "cast": ["@"]}, "people of other media than movies"), ("@", "arguments are no object"),
@@ -122,14 +122,14 @@ DECISION = {"schemaVersion": 1, "traceId": "t@", "primary": {"verdict": "approve
 planted("review_decisions", "Decisions of two reviewers.", [
     (DECISION, None), (changed(DECISION, lambda d: d.update(more=1)), "the decision has other fields"), (changed(DECISION, lambda d: d["primary"].pop("notes")), "the first review has other fields"), (changed(DECISION, lambda d: d["secondary"].update(required=False)), "a second review is wanted where it is not required, or the other way round"),
     (changed(DECISION, lambda d: d["primary"].update(verdict="maybe")), "unknown verdict"), (changed(DECISION, lambda d: d["primary"].update(reviewedAt="2024-01-01")), "a settled verdict needs a reviewer and a UTC time"), (changed(DECISION, lambda d: d["secondary"].update(verdict="pending")), "a pending verdict carries evidence"),
-    (changed(DECISION, lambda d: d["secondary"].update(reviewer="r@")), "primary and secondary reviewers must differ"), (changed(DECISION, lambda d: d["secondary"].update(reviewedAt="2023-01-02T00:00:00Z")), "secondary review must follow primary review"),
+    (changed(DECISION, lambda d: d["secondary"].update(reviewer="r@")), "both reviews are by one person"), (changed(DECISION, lambda d: d["secondary"].update(reviewedAt="2023-01-02T00:00:00Z")), "the second review is not after the first"),
 ], lambda d: review.decision_reason(d, F.lit(True)))
 planted("utc_times", "Times of records.", [("2024-02-29T23:59:59Z", True), ("2023-02-29T00:00:00Z", False), ("2024-01-01T00:00:00.123456Z", True), ("2024-01-01T00:00:00+00:00", False), ("2024-01-01 00:00:00Z", False), ("@", False)], lambda c: numbers.utc(c).isNotNull())
 planted("exact_amounts", "Amounts that keep all digits.", [("0.1000000000000000000001", "0.1000000000000000000001"), ("7", "7.0000000000000000000000"), ("-1", None), ("1e3", None), ("NaN", None), (".5", None)], lambda c: numbers.money(c).cast("string"))
 
 REPLY = {"id": "g@", "model": "m", "choices": [{"finish_reason": "stop", "message": {"content": "{}"}}], "usage": {"prompt_tokens": 5, "completion_tokens": 2, "total_tokens": 7, "cost": 0.25}}
 planted("completion_envelopes", "Replies that end a run.", [
-    (REPLY, None), (changed(REPLY, lambda x: x.update(model="n@")), "another model than asked for"), (changed(REPLY, lambda x: x.pop("id")), "no generation id"), (changed(REPLY, lambda x: x.update(choices=[])), "not exactly one choice"), (changed(REPLY, lambda x: x["usage"].update(total_tokens=6)), "usage total is inconsistent"), (changed(REPLY, lambda x: x["usage"].update(cost="@")), "invalid cost"),
+    (REPLY, None), (changed(REPLY, lambda x: x.update(model="n@")), "another model than asked for"), (changed(REPLY, lambda x: x.pop("id")), "no generation id"), (changed(REPLY, lambda x: x.update(choices=[])), "not exactly one choice"), (changed(REPLY, lambda x: x["usage"].update(total_tokens=6)), "the usage does not add up to its total"), (changed(REPLY, lambda x: x["usage"].update(cost="@")), "invalid cost"),
 ], lambda r: evidence.envelope_reason(r, F.lit("m"), F.lit("p")))
 
 
@@ -213,7 +213,7 @@ planted("behaviour_cases", "Cases by the rules of their behaviour.", [
     *[(c, None) for c in CASES.values()],
     (changed(CASES[B.RETRY], lambda x: x["script"].append(x["script"][0])), "a case has one or two steps"), (changed(CASES[B.COMPLETE], lambda x: x["script"][0].update(more="@")), "a step has a search and a result"), (changed(CASES[B.COMPLETE], lambda x: x["script"][0]["arguments"].update(n=1)), "a step asks for what no search takes"),
     (changed(CASES[B.COMPLETE], lambda x: x["script"][0]["arguments"].update(keywords=["@"])), "a step has several selectors, or none"), (changed(CASES[B.COMPLETE], lambda x: x["script"][0]["result"].update(more=1)), "a result has candidates and an error at most"), (changed(CASES[B.COMPLETE], lambda x: x["script"][0]["result"]["candidates"][0].update(overview="real @")), "a candidate is incomplete, or not marked as synthetic"),
-    (changed(CASES[B.COMPLETE], lambda x: x["expectation"]["selectedIds"][0].update(tmdbId=0)), "an expected identity is none"), (changed(CASES[B.COMPLETE], lambda x: x["expectation"]["selectedIds"][0].update(tmdbId=99)), "expectation references an unscripted id"), (changed(CASES[B.COMPLETE], lambda x: x["expectation"].update(forbiddenIds=[ID])), "an id is both wanted and forbidden"),
+    (changed(CASES[B.COMPLETE], lambda x: x["expectation"]["selectedIds"][0].update(tmdbId=0)), "an expected identity is none"), (changed(CASES[B.COMPLETE], lambda x: x["expectation"]["selectedIds"][0].update(tmdbId=99)), "an id is expected that no step returns"), (changed(CASES[B.COMPLETE], lambda x: x["expectation"].update(forbiddenIds=[ID])), "an id is both wanted and forbidden"),
     (changed(CASES[B.COMPLETE], lambda x: x["expectation"].update(abstain=True)), "abstention is expected where ids are, or not where none is"), (changed(CASES[B.COMPLETE], lambda x: x["expectation"].update(maxToolCalls=2)), "the calls allowed are not the script's"), (changed(CASES[B.COMPLETE], lambda x: x["expectation"].update(expectedPolicy=[])), "the expected policy is no object"),
     (changed(CASES[B.CANONICAL], lambda x: x["script"][0]["arguments"].update(era="1990s")), "the search is not what the canonical intent says"), (changed(CASES[B.ABSTAIN], lambda x: x["expectation"].update(forbiddenIds=[])), "an abstention has one search, no picks and an empty policy"), (changed(CASES["cast-routing"], lambda x: x["script"][0]["arguments"].update(era="80s")), "cast-routing takes other arguments"),
 ], behaviors.case_reason)
@@ -252,9 +252,9 @@ STEP = {"arguments": {"genres": ["g@"], "dateMeaning": NONE}, "result": json.dum
 LATER = {"schemaVersion": 1, "split": "development-eval", "axis": "genre-discovery", "script": [STEP], "expectation": {"dateMeaning": NONE, "selectedKeys": ["movie:src:@"], "forbiddenKeys": ["movie:src:x"]}}
 FAULTY = changed(LATER, lambda x: (x.update(axis=B.FAULT, script=[{**STEP, "result": json.dumps(OUTAGE)}, STEP]), x["expectation"].update(faultInjected=True, faultObserved=True)))
 planted("current_cases", "Cases of the dated contract.", [
-    (LATER, None), (FAULTY, None), (changed(LATER, lambda x: x.update(schemaVersion=2)), "no development case of version 1"), (changed(LATER, lambda x: x.update(axis="n@")), "not a known capability"), (changed(LATER, lambda x: x.update(script=[])), "development script is empty"), (changed(LATER, lambda x: x["script"][0]["arguments"].pop("dateMeaning")), "a search breaks the contract"),
+    (LATER, None), (FAULTY, None), (changed(LATER, lambda x: x.update(schemaVersion=2)), "no development case of version 1"), (changed(LATER, lambda x: x.update(axis="n@")), "not a known capability"), (changed(LATER, lambda x: x.update(script=[])), "a development case has no script"), (changed(LATER, lambda x: x["script"][0]["arguments"].pop("dateMeaning")), "a search breaks the contract"),
     (changed(json.loads(FAULTY), lambda x: x["script"][1]["arguments"].update(dateMeaning=DATED)), "the script changed the date meaning"), (changed(LATER, lambda x: x["script"][0].update(result="{")), "a result is no payload"), (changed(LATER, lambda x: x["expectation"].update(dateMeaning=DATED)), "another date meaning is expected"), (changed(LATER, lambda x: x["expectation"].update(selectedKeys="k@")), "expected keys are no lists"),
-    (changed(LATER, lambda x: x["expectation"].update(selectedKeys=["movie:src:other@"])), "an expected key is not surfaced, or is forbidden"), (changed(json.loads(FAULTY), lambda x: x["expectation"].update(faultObserved=False)), "recovery case lacks observed fault evidence"), (changed(LATER, lambda x: x["expectation"].update(faultInjected=False)), "a fault outside the recovery capability"),
+    (changed(LATER, lambda x: x["expectation"].update(selectedKeys=["movie:src:other@"])), "an expected key is not surfaced, or is forbidden"), (changed(json.loads(FAULTY), lambda x: x["expectation"].update(faultObserved=False)), "no fault was seen that the case recovers from"), (changed(LATER, lambda x: x["expectation"].update(faultInjected=False)), "a fault outside the recovery capability"),
 ], lambda c: behaviors.current_case_reason(c, CAPABILITIES))
 
 

@@ -23,7 +23,7 @@ def changed(base, f):
 def test_completions(spark):
     rows = [
         (changed(REPLY, lambda x: None), "ok", None), (changed(REPLY, lambda x: x.update(model="n")), "aborted", "another model than asked for"), (changed(REPLY, lambda x: x.pop("id")), "aborted", "no generation id"), (changed(REPLY, lambda x: x.update(choices=[])), "aborted", "not exactly one choice"),
-        (changed(REPLY, lambda x: x["usage"].update(total_tokens=6)), "aborted", "usage total is inconsistent"), (changed(REPLY, lambda x: x["usage"].update(cost="1")), "aborted", "invalid cost"), (changed(REPLY, lambda x: x["choices"][0].update(finish_reason="length")), "quarantined", "did not stop by itself"),
+        (changed(REPLY, lambda x: x["usage"].update(total_tokens=6)), "aborted", "the usage does not add up to its total"), (changed(REPLY, lambda x: x["usage"].update(cost="1")), "aborted", "invalid cost"), (changed(REPLY, lambda x: x["choices"][0].update(finish_reason="length")), "quarantined", "did not stop by itself"),
         (changed(REPLY, lambda x: x["choices"][0]["message"].update(content="{")), "quarantined", "content is not JSON"), (changed(REPLY, lambda x: x["choices"][0]["message"].update(content='{"reviews":[{"traceId":"b"},{"traceId":"a"}]}')), "quarantined", "reviews are not those asked for"),
     ]
     df = spark.createDataFrame([(i, r, "m", "p", ["a", "b"]) for i, (r, _, _) in enumerate(rows)], "i int, response string, model string, provider string, ids array<string>")
@@ -91,7 +91,7 @@ CASE = {
         (lambda c: None, None), (lambda c: c.update(extra=1), "the case has other fields"), (lambda c: c.update(caseId="X"), "the case's id is not of its form"), (lambda c: c.update(axis="z"), "another split"), (lambda c: c.update(intent=" "), "a blank intent"), (lambda c: c.update(script=[]), "1 to 2 steps"),
         (lambda c: c["script"][0]["arguments"].update(query="x"), "a step's search is refused"), (lambda c: c["script"][0]["arguments"].update(keywords=["x"]), "several selectors"), (lambda c: c["script"][0]["result"].update(more=1), "a step's result has other fields"),
         (lambda c: c["script"][0]["result"]["candidates"][0].update(tmdbId=2), "a candidate is scripted twice"), (lambda c: c["script"][0]["result"]["candidates"][0].update(tmdbId=-1), "a step's candidate has no identity"), (lambda c: c["expectation"].pop("abstain"), "the expectation has other fields"),
-        (lambda c: c["expectation"].update(forbiddenIds=c["expectation"]["selectedIds"]), "wanted and forbidden"), (lambda c: c["expectation"]["selectedIds"][0].update(tmdbId=9), "unscripted id"), (lambda c: c["expectation"].update(abstain=True), "abstention"), (lambda c: c["expectation"].update(maxToolCalls=2), "calls allowed"),
+        (lambda c: c["expectation"].update(forbiddenIds=c["expectation"]["selectedIds"]), "wanted and forbidden"), (lambda c: c["expectation"]["selectedIds"][0].update(tmdbId=9), "no step returns"), (lambda c: c["expectation"].update(abstain=True), "abstention"), (lambda c: c["expectation"].update(maxToolCalls=2), "calls allowed"),
     ],
 )
 def test_cases(spark, change, reason):
