@@ -1,4 +1,4 @@
-"""Queries that write what they read: JSON lines, publications, the log of a ledger. What is written is deleted when the result is there."""
+"""Queries that write what they read: JSON lines, publications, the log of a ledger, arrivals of streams. What is written is deleted when the result is there."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import transitions
 from ..sources import files, records, sinks
 from ..sources.tables import checkpoint, numbered, read, shared_dir
+from ..streaming import flows
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,3 +87,56 @@ def ledger_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = (F.col("version") + F.when(F.col("o_orderstatus") == "P", 5).otherwise(0)).cast("string")
     log = rows.select("version", F.when(F.col("p") == "1", "settle").otherwise("reserve").alias("kind"), F.lit("1").alias("cost"), F.lit("1").alias("reserved"), F.lit("0").alias("posted"), held.alias("outstanding"), held.alias("committed"), F.lit("10000000000").alias("authorized"))
     return transitions.problems(log)
+
+
+#: Runs in which the rows of a stream arrive.
+ARRIVALS = 3
+
+
+def arriving(sides: dict[str, DataFrame], path: str, within: str) -> tuple[dict[str, str], int, int]:
+    """The sides' folders, the width of a slice of time, and the latest time of a row, in microseconds; slices are staged under `staged-` and the side's name.
+
+    Rows arrive by equal slices of the time of both sides, every seventh id one slice late.
+    In the last slice of each side stands a row of no id so late that all before it is final.
+    """
+    spans = [s.agg(F.min("at").alias("a"), F.max("at").alias("b")) for s in sides.values()]
+    span = spans[0].unionByName(spans[1]).agg(F.unix_micros(F.min("a")).alias("a"), F.unix_micros(F.max("b")).alias("b")).first()
+    first, last = span["a"] or 0, span["b"] or 0
+    width = (last - first) // ARRIVALS + 1
+    folders = {}
+    for name, rows in sides.items():
+        slices = F.floor((F.unix_micros("at") - first) / width) + F.when(F.col("id") % 7 == 0, 1).otherwise(0)
+        far = F.timestamp_micros(F.lit(last + 3 * width)) + F.expr(f"INTERVAL {within}")
+        end = rows.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("id"), far.alias("at"), F.lit(None).cast("string").alias("cost"), F.lit(None).cast("string").alias("status"))
+        late = rows.select("*", F.least(slices, F.lit(ARRIVALS - 1)).cast("int").alias("arrival")).unionByName(end.withColumn("arrival", F.lit(ARRIVALS - 1)))
+        folders[name] = f"{path}/{name}"
+        late.write.partitionBy("arrival").parquet(f"{path}/staged-{name}")
+    return folders, width, last
+
+
+@query("""WITH c AS (SELECT o_orderkey AS id, o_orderdate AS at, CAST(o_custkey % 5 AS VARCHAR) AS cost, o_orderstatus AS status FROM orders),
+s AS (SELECT l_orderkey AS id, l_shipdate AS at, CASE WHEN l_linenumber = 5 THEN '-' ELSE '' END || CAST(CAST(l_quantity AS BIGINT) % 5 AS VARCHAR) AS cost, l_linestatus AS status FROM lineitem),
+p AS (SELECT coalesce(c.id, s.id) AS id, year(coalesce(c.at, s.at)) AS year,
+CASE WHEN c.at IS NULL THEN 'settled without a call' WHEN s.at IS NULL THEN 'not settled in time' WHEN c.status IS DISTINCT FROM s.status THEN 'status differs' WHEN s.cost LIKE '-%' THEN 'invalid cost' WHEN c.cost <> s.cost THEN 'cost does not reconcile' END AS problem
+FROM c FULL JOIN s ON c.id = s.id AND s.at BETWEEN c.at AND c.at + INTERVAL 200 DAY)
+SELECT CAST(year AS INTEGER) AS year, problem, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM p GROUP BY 1, 2""")
+def streamed_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders met with the lines that ship them within 200 days, as two streams whose rows arrive in three runs, some of them late."""
+    within = "200 days"
+    calls = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("at"), (F.col("o_custkey") % 5).cast("string").alias("cost"), F.col("o_orderstatus").alias("status"))
+    sign = F.when(F.col("l_linenumber") == 5, "-").otherwise("")
+    settled = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.concat(sign, (F.col("l_quantity").cast("bigint") % 5).cast("string")).alias("cost"), F.col("l_linestatus").alias("status"))
+
+    def made(path: str) -> DataFrame:
+        folders, width, last = arriving({"calls": calls, "settled": settled}, path, within)
+        for k in range(ARRIVALS):  # each a run of its own, which goes on from the state of the one before
+            for name, folder in folders.items():
+                files.folder(spark, folder)
+                if files.exists(spark, f"{path}/staged-{name}/arrival={k}"):
+                    files.place(spark, f"{path}/staged-{name}/arrival={k}", f"{folder}/{k}")
+            sides = [flows.source(spark, f"{folder}/*", "id long, at timestamp, cost string, status string", files=10_000) for folder in folders.values()]
+            flows.drain(flows.settlements(*sides, ["status"], within, f"{width} microseconds"), f"{path}/out", f"{path}/state")
+        met = spark.read.parquet(f"{path}/out").where(F.unix_micros(F.coalesce("at", "settled_at")) <= last)  # without the rows that end the sides
+        return met.groupBy(F.year(F.coalesce("at", "settled_at")).alias("year"), "problem").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+    return written(spark, made)

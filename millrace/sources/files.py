@@ -26,6 +26,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def folder(spark: SparkSession, path: str) -> None:
+    """A folder of that name, unless it is there."""
+    at, fs = _path(spark, path)
+    fs.mkdirs(at)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
 def names(spark: SparkSession, folder: str) -> list[str]:
     """The names in a folder that are not hidden; none if it is not there."""
     at, fs = _path(spark, folder)

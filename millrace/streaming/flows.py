@@ -1,4 +1,4 @@
-"""Streaming forms: windowed rates, first sightings, and the turn protocol as state per conversation.
+"""Streaming forms: windowed rates, first sightings, the turn protocol as state per conversation, and calls met with their settlements.
 
 Each gives what its batch form gives over the same rows, for rows that arrive
 within the watermark.
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.numbers import money
+from ..operators.rules import Rule, first_reason
+
 
 def source(spark: SparkSession, folder: str, schema: str, kind: str = "parquet", files: int = 16) -> DataFrame:
     """New files of a folder as a stream, `files` of them at most in a batch."""
@@ -37,6 +40,33 @@ def last_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def settlements(calls: DataFrame, settled: DataFrame, same: list[str], within: str, delay: str) -> DataFrame:
+    """id, at, settled_at, problem: each call with each settlement of its id that follows within a span of event time.
+
+    Both have id, at, cost (as text) and the columns `same`, which must agree.
+    A call that nothing settles in time and a settlement of no call appear
+    once, when no row can come any more that would match them: `within` and
+    `delay` after the latest time of both sides, so that state holds no more
+    than that span. Sound pairs have no problem; two settlements of a call are
+    two rows. A null id matches nothing; null is equal to null in `same`; rows
+    without a time take no part. Over tables that are no streams the result is
+    the same, of all rows.
+    """
+    c = calls.where("at IS NOT NULL").select("id", "at", "cost", *same).withWatermark("at", delay)
+    s = settled.where("at IS NOT NULL").select(*[F.col(x).alias(f"s_{x}") for x in ("id", "at", "cost", *same)]).withWatermark("s_at", delay)
+    known = F.col("id").isNotNull()  # a stream's join takes null keys for equal
+    meet = known & (F.col("id") == F.col("s_id")) & (F.col("s_at") >= F.col("at")) & (F.col("s_at") <= F.col("at") + F.expr(f"INTERVAL {within}"))
+    rules = [
+        Rule("settled without a call", F.col("at").isNotNull()),
+        Rule("not settled in time", F.col("s_at").isNotNull()),
+        *[Rule(f"{x} differs", F.col(x).eqNullSafe(F.col(f"s_{x}"))) for x in same],
+        Rule("invalid cost", money(F.col("cost")).isNotNull() & money(F.col("s_cost")).isNotNull()),
+        Rule("cost does not reconcile", money(F.col("cost")) == money(F.col("s_cost"))),
+    ]
+    met = c.join(s, meet, "full_outer")
+    return met.select(F.coalesce("id", "s_id").alias("id"), "at", F.col("s_at").alias("settled_at"), first_reason(rules).alias("problem"))
+
+
 FINDING = "conv_id long, turn long, finding string"
 STATE = "turn long, role string, waiting string"
 
