@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from ..functions import text as T
 from ..sources.tables import checkpoint
@@ -56,15 +61,78 @@ def _runs(units: Column, n: int, skip: int = 0) -> Column:
     return F.transform(F.array(units), lambda w: F.transform(starts, lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + k) for k in range(n)])))[0]
 
 
-def containing(docs: DataFrame, denied: DataFrame, doc: str, item: str, text: str = "text", n: int = 3) -> DataFrame:
-    """Pairs (doc, item) where the document's text contains the item's text, anywhere.
+#: Bytes of the items' texts, and 16 an item, that one automaton may hold; its nodes take some 60 times as much.
+AUTOMATON_BYTES = 4 << 20
+
+
+#: The automaton last made in a worker, by its broadcast's number.
+_made: dict[int, object] = {}
+
+
+def _automaton(number: int, texts: Broadcast):
+    """The automaton of a broadcast's texts, made once in a worker: each text leads to its places in the list."""
+    import ahocorasick
+
+    if number not in _made:
+        of: dict[str, list[int]] = {}
+        for i, said in enumerate(texts.value):
+            of.setdefault(said, []).append(i)
+        made = ahocorasick.Automaton()
+        for said, places in of.items():
+            made.add_word(said, places)
+        made.make_automaton()
+        _made.clear()
+        _made[number] = made
+    return _made[number]
+
+
+def _finder(number: int, texts: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches (doc, text): doc and the number of each text that the document's holds, once a row."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(number, texts)
+        for b in batches:
+            rows, places = [], []
+            for r, said in enumerate(b.column(1)):
+                held = {i for _, some in automaton.iter(said.as_py()) for i in some}
+                rows += [r] * len(held)
+                places += held
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())], names=[b.schema.names[0], "_i"])
+
+    return find
+
+
+def containing(docs: DataFrame, denied: DataFrame, doc: str, item: str, text: str = "text", n: int = 3, automaton: int = AUTOMATON_BYTES) -> DataFrame:
+    """Pairs (doc, item) where the document's text contains the item's text, anywhere; null and empty texts are in no pair.
+
+    Items of no more than `automaton` bytes together go to every worker as one
+    automaton, which finds all of them in one pass over each text: documents are
+    not shuffled, only pairs are. Items beyond that are joined by runs of words.
+    """
+    items = denied.where(F.length(text) > 0).select(item, text)
+    size = items.agg(F.sum(F.octet_length(text).cast("long") + 16)).first()[0] or 0
+    if size > automaton:
+        return _containing_by_runs(docs, denied, doc, item, text, n)
+    held = items.collect()  # of that many bytes at most
+    spark = docs.sparkSession
+    kept = spark.sparkContext.broadcast([r[1] for r in held])
+    of = t.StructType([t.StructField("_i", t.LongType()), t.StructField(item, denied.schema[item].dataType)])
+    names = F.broadcast(spark.createDataFrame([(i, r[0]) for i, r in enumerate(held)], of))
+    pairs = t.StructType([t.StructField(doc, docs.schema[doc].dataType), t.StructField("_i", t.LongType())])
+    met = docs.where(F.length(text) > 0).select(doc, text)
+    if not held:
+        return met.select(doc, F.lit(None).cast(denied.schema[item].dataType).alias(item)).where("false")
+    return met.mapInArrow(_finder(kept._jbroadcast.id(), kept), pairs).join(names, "_i").select(doc, item).distinct()
+
+
+def _containing_by_runs(docs: DataFrame, denied: DataFrame, doc: str, item: str, text: str, n: int) -> DataFrame:
+    """containing() by joins alone.
 
     A substring of n + 2 or more blank-separated words has its inner words
     whole, so the least hash of n inner words in a row is looked up among the
     document's. An item of fewer words is looked up by the least hash of its
     runs of CHARACTERS characters, one of fewer characters by all of it. What is
-    found is compared; only then do texts take part. Null and empty items are
-    in no pair.
+    found is compared; only then do texts take part.
     """
     words, letters = F.split(text, " "), F.split(text, "")
     items = denied.where(F.length(text) > 0).select(F.col(item), F.col(text).alias("_wanted"), words.alias("_words"), letters.alias("_letters"))

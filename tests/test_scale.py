@@ -5,6 +5,7 @@ import json
 import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import fingerprints, jsonx
@@ -49,13 +50,15 @@ def test_the_log_of_a_case(spark):
     assert sorted(map(tuple, got), key=lambda x: x[2]) == want
 
 
-def test_containment_of_long_and_short_items(spark):
+@pytest.mark.parametrize("automaton", [leakage.AUTOMATON_BYTES, 0])
+def test_containment_of_long_and_short_items(spark, automaton):
     rnd = random.Random(3)
     words = ["ab", "abc", "é", "日本", "x", "", "cat", "concatenate", "\U0001f600"]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(40)))) for i in range(60)] + [(60, None), (61, "")]
     items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9)))) for i in range(60)] + [(70, "cat"), (71, "t c"), (72, "a"), (73, None), (74, ""), (75, "concatenate x"), (76, "\U0001f600"), (77, docs[3][1]), (78, docs[4][1][1:-1])]
+    items += [(i + 100, x) for i, x in items[:3]]  # the same text twice
     want = {(i, j) for i, t in docs for j, x in items if t is not None and x and x in t}
-    found = leakage.containing(spark.createDataFrame(docs, "d int, text string"), spark.createDataFrame(items, "i int, text string"), "d", "i")
+    found = leakage.containing(spark.createDataFrame(docs + docs[:2], "d int, text string"), spark.createDataFrame(items, "i int, text string"), "d", "i", automaton=automaton)
     assert {tuple(r) for r in found.collect()} == want and len(want) > 50
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
