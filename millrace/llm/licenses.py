@@ -29,7 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .common import checkpoint, row_key, table
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -196,6 +196,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     """
     base = phrases(docs, key, text)
     best = matches(docs, templates, threshold, key, text).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("most"))  # a set of labels of the list at most
+    best = checkpoint(best)  # kept apart from the join, so that Spark can split a row that very many others repeat
     all_labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0)))
     return base.join(best, "row", "left").select(
