@@ -294,6 +294,7 @@ def resolved(rows: DataFrame) -> DataFrame:
     own = rows.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), base32(F.sha1("payload"))).alias("own_digest"), "record_type", "refers_to", "digest", "error")
     own = checkpoint(own)
     known = own.where("record_type = 'response' AND error IS NULL").groupBy(F.col("own_digest").alias("of")).agg(F.max("payload_bytes").alias("bytes"))
+    known = checkpoint(known)  # kept apart from the join, so that Spark can split a payload that very many revisit
     again = own.where("record_type = 'revisit' AND error IS NULL").join(known, F.col("digest") == F.col("of"), "left")
     again = again.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.when(F.col("of").isNull(), "no response has its payload").alias("error"))
     rest = own.where("record_type <> 'revisit' OR record_type IS NULL OR error IS NOT NULL")
