@@ -221,15 +221,16 @@ def components(edges: DataFrame) -> DataFrame:
     A star's centre gets the least of its neighbours by a partial aggregate,
     never a list of them. Rounds go on until no edge changes: their number grows
     with the logarithm of the longest way, and edges become fewer. A round is kept in as many files as its edges, which
-    are never more than in the round before, want.
+    are never more than in the round before, want. Least neighbours are kept apart from their joins, so that Spark can
+    split a centre that has a large part of all edges.
     """
     edges = checkpoint(edges.select("a", "b"))
     parts, mark = max(4, edges.count() // EDGES_A_FILE + 1), None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = checkpoint(both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct().coalesce(parts))
+        down = checkpoint(large.groupBy("b").agg(F.min("a").alias("m")))
         small = large.join(down, "b").select(F.col("m").alias("x"), F.explode(F.array(F.col("a"), F.col("b"))).alias("y")).where("x < y").distinct()
         edges = checkpoint(small.toDF("a", "b").coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
