@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import transitions
-from ..sources import files, records, sinks
+from ..sources import archives, files, records, sinks
 from ..sources.tables import checkpoint, numbered, read, shared_dir
 from ..streaming import flows
 
@@ -140,3 +140,18 @@ def streamed_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
         return met.groupBy(F.year(F.coalesce("at", "settled_at")).alias("year"), "problem").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 
     return written(spark, made)
+
+
+@query("""SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS sha256, greatest(1, (octet_length(encode(text)) + 4095) // 4096) AS pieces FROM documents WHERE text IS NOT NULL""")
+def archived_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the documents as members of tar archives, one a task, found again by an index and read by ranges: their digests, and the pieces of 4 KiB they come in."""
+    docs = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat("doc_id", F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+
+    def made(path: str) -> DataFrame:
+        archives.write(docs, path)
+        rows = archives.index(archives.found(spark, path, "*.tar"))
+        cut = archives.contents(rows, 4096).groupBy("archive", "nth").agg(F.count("*").alias("pieces"), F.sum(F.length("content")).alias("size"))
+        doc_id = F.regexp_extract("member", "[0-9]+", 0).cast("bigint").alias("doc_id")
+        return archives.digested(rows).select("archive", "nth", doc_id, "sha256").join(cut, ["archive", "nth"]).select("doc_id", "size", "sha256", "pieces")
+
+    return written(spark, made)
