@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udtf
 
-from .text import PRIVATE_PATHS, SECRETS
+from .text import LITERALS, PRIVATE_PATHS, SECRETS
 
 
 def _any(patterns: dict[str, str]) -> str:
-    """One of the patterns, as a raw SQL literal."""
-    whole = "|".join(f"(?:{p})" for p in patterns.values())
-    return "r'" + whole + "'"
+    """Whether t has one of the patterns; each is looked for only where its literals are."""
+    literals = {name: " OR ".join(f"contains(t, r'{x}')" for x in LITERALS[name]) for name in patterns}
+    return " OR ".join(f"(({literals[name]}) AND regexp_like(t, r'{p}'))" for name, p in patterns.items())
 
 
 #: Name, parameters, what it gives, and the expression or query. Each gives what the function of the same use in this package gives.
@@ -28,18 +28,19 @@ FUNCTIONS = [
     ("normalized_text", "t STRING", "STRING", r"trim(regexp_replace(lower(t), r'(?U)\s+', ' '))"),
     ("text_fingerprint", "t STRING", "STRING", r"sha2(trim(regexp_replace(lower(t), r'(?U)\s+', ' ')), 256)"),
     ("text_tokens", "t STRING", "ARRAY<STRING>", r"array_distinct(transform(filter(split(lower(t), r'[^a-z0-9]+'), x -> x <> ''), x -> CASE WHEN length(x) > 3 AND endswith(x, 's') THEN substring(x, 1, length(x) - 1) ELSE x END))"),
-    ("has_secret", "t STRING", "BOOLEAN", f"coalesce(regexp_like(t, {_any(SECRETS)}), false)"),
-    ("has_private_path", "t STRING", "BOOLEAN", f"coalesce(regexp_like(t, {_any(PRIVATE_PATHS)}), false)"),
+    ("has_secret", "t STRING", "BOOLEAN", f"coalesce({_any(SECRETS)}, false)"),
+    ("has_private_path", "t STRING", "BOOLEAN", f"coalesce({_any(PRIVATE_PATHS)}, false)"),
     ("utc_time", "t STRING", "TIMESTAMP", r"CASE WHEN regexp_like(t, r'\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?Z\z') THEN try_to_timestamp(t) END"),
     ("exact_amount", "t STRING", "DECIMAL(38,22)", r"CASE WHEN regexp_like(t, r'\A[0-9]+(?:\.[0-9]+)?\z') THEN try_cast(t AS DECIMAL(38,22)) END"),
     ("hour_up", "t TIMESTAMP", "TIMESTAMP", "CASE WHEN t = date_trunc('HOUR', t) THEN t ELSE date_trunc('HOUR', t) + INTERVAL 1 HOUR END"),
     ("safe_path", "p STRING", "BOOLEAN", r"p <> '' AND NOT regexp_like(p, r'(?:^|[/\\])\.\.(?:[/\\]|$)|^[/\\]|^[A-Za-z]:|\x00')"),
     ("closed_object", "j STRING, keys ARRAY<STRING>", "BOOLEAN", "coalesce(array_sort(json_object_keys(j)) = array_sort(keys) AND try_parse_json(j) IS NOT NULL, false)"),
     # Runs without white space, with the code points where they begin and end.
-    ("text_spans", "t STRING", "TABLE (piece STRING, start INT, stop INT)", r"""SELECT s.x.piece, s.x.start, s.x.stop FROM LATERAL explode(aggregate(split(t, r'(?U)\s', -1),
-        named_struct('at', 0, 'got', CAST(array() AS ARRAY<STRUCT<piece: STRING, start: INT, stop: INT>>)),
-        (a, p) -> named_struct('at', a.at + length(p) + 1, 'got', CASE WHEN p = '' THEN a.got ELSE concat(a.got, array(named_struct('piece', p, 'start', a.at, 'stop', a.at + length(p)))) END),
-        a -> a.got)) AS s(x)"""),
+    ("text_spans", "t STRING", "TABLE (piece STRING, start INT, stop INT)", r"""SELECT s.x.piece, s.x.start, s.x.stop FROM LATERAL explode(get(transform(transform(array(split(t, r'(?U)\s', -1)),
+        p -> transform(sequence(0, (size(p) - 1) DIV CAST(ceil(cbrt(size(p))) AS INT)), k -> slice(p, CAST(k * ceil(cbrt(size(p))) + 1 AS INT), CAST(ceil(cbrt(size(p))) AS INT)))),
+        b -> flatten(zip_with(b, aggregate(transform(b, q -> aggregate(q, 0, (n, x) -> n + length(x) + 1)), named_struct('at', 0, 'got', CAST(array() AS ARRAY<INT>)), (a, n) -> named_struct('at', a.at + n, 'got', concat(a.got, array(a.at))), a -> a.got),
+            (q, first) -> aggregate(q, named_struct('at', first, 'got', CAST(array() AS ARRAY<STRUCT<piece: STRING, start: INT, stop: INT>>)),
+                (a, x) -> named_struct('at', a.at + length(x) + 1, 'got', CASE WHEN x = '' THEN a.got ELSE concat(a.got, array(named_struct('piece', x, 'start', a.at, 'stop', a.at + length(x)))) END), a -> a.got)))), 0)) AS s(x)"""),
 ]
 
 

@@ -106,14 +106,32 @@ def leaks(c: Column) -> Column:
 
 
 def spans(c: Column) -> Column:
-    """Runs without white space as structs of text, start and end (code points, end exclusive)."""
-    pieces = F.split(c, r"(?U)\s", -1)
-    ends = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + 1).alias("at"),
-            F.when(p == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(p.alias("text"), acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"))))).alias("out"),
-        ),
-    )
-    return ends["out"]
+    """Runs without white space as structs of text, start and end (code points, end exclusive).
+
+    An array cannot grow in place, so pieces are put together in blocks, whose
+    number and size both stay small: a text of n pieces takes n^(4/3) steps.
+    """
+    kind = "array<struct<text:string,start:int,end:int>>"
+
+    def placed(p: Column, at: Column) -> Column:
+        """The spans of a block that begins there."""
+        start = F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+        one = lambda acc, x: F.array(F.struct(x.alias("text"), acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end")))
+        step = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(x == "", acc["out"]).otherwise(F.concat(acc["out"], one(acc, x))).alias("out"))
+        return F.aggregate(p, start, step, lambda acc: acc["out"])
+
+    def starts(blocks: Column) -> Column:
+        """Where each block begins."""
+        lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x) + 1))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, first, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def cut(p: Column) -> Column:
+        size = F.ceil(F.cbrt(F.size(p))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda k: F.slice(p, k * size + 1, size))
+
+    # Each transform of an array of one is a name for its value, which lambdas would otherwise compute anew for each element.
+    pieces = F.array(F.split(c, r"(?U)\s", -1))
+    blocks = F.transform(pieces, cut)
+    out = F.transform(blocks, lambda b: F.flatten(F.zip_with(b, starts(b), placed)))
+    return F.get(out, F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluation, exact, planted, results, stored
+from . import columns, corpus, evaluation, exact, planted, results, spoken, stored
 
-QUERIES = {**corpus.QUERIES, **results.QUERIES, **exact.QUERIES, **stored.QUERIES, **evaluation.QUERIES, **planted.QUERIES}
-ORACLES = {**corpus.ORACLES, **results.ORACLES, **exact.ORACLES, **stored.ORACLES, **evaluation.ORACLES, **planted.ORACLES}
+QUERIES = {**corpus.QUERIES, **results.QUERIES, **exact.QUERIES, **stored.QUERIES, **evaluation.QUERIES, **planted.QUERIES, **columns.QUERIES, **spoken.QUERIES}
+ORACLES = {**corpus.ORACLES, **results.ORACLES, **exact.ORACLES, **stored.ORACLES, **evaluation.ORACLES, **planted.ORACLES, **columns.ORACLES, **spoken.ORACLES}
