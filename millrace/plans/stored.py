@@ -94,24 +94,26 @@ ARRIVALS = 3
 
 
 def arriving(sides: dict[str, DataFrame], path: str, within: str) -> tuple[dict[str, str], int, int]:
-    """The sides' folders, the width of a slice of time, and the latest time of a row, in microseconds; slices are staged under `staged-` and the side's name.
+    """The sides' folders, how late a row can be in milliseconds, and the latest time of a row in microseconds; slices are staged under `staged-` and the side's name.
 
     Rows arrive by equal slices of the time of both sides, every seventh id one slice late.
     In the last slice of each side stands a row of no id so late that all before it is final.
+    Watermarks count whole milliseconds, and a row at the watermark is late already: slices
+    are so many milliseconds wide, and rows may be one more late.
     """
     spans = [s.agg(F.min("at").alias("a"), F.max("at").alias("b")) for s in sides.values()]
     span = spans[0].unionByName(spans[1]).agg(F.unix_micros(F.min("a")).alias("a"), F.unix_micros(F.max("b")).alias("b")).first()
     first, last = span["a"] or 0, span["b"] or 0
-    width = (last - first) // ARRIVALS + 1
+    width = ((last - first) // (1000 * ARRIVALS) + 1) * 1000
     folders = {}
     for name, rows in sides.items():
         slices = F.floor((F.unix_micros("at") - first) / width) + F.when(F.col("id") % 7 == 0, 1).otherwise(0)
-        far = F.timestamp_micros(F.lit(last + 3 * width)) + F.expr(f"INTERVAL {within}")
+        far = F.timestamp_micros(F.lit(last + 4 * width)) + F.expr(f"INTERVAL {within}")
         end = rows.sparkSession.range(1).select(F.lit(None).cast("bigint").alias("id"), far.alias("at"), F.lit(None).cast("string").alias("cost"), F.lit(None).cast("string").alias("status"))
         late = rows.select("*", F.least(slices, F.lit(ARRIVALS - 1)).cast("int").alias("arrival")).unionByName(end.withColumn("arrival", F.lit(ARRIVALS - 1)))
         folders[name] = f"{path}/{name}"
         late.write.partitionBy("arrival").parquet(f"{path}/staged-{name}")
-    return folders, width, last
+    return folders, width // 1000 + 1, last
 
 
 @query("""WITH c AS (SELECT o_orderkey AS id, o_orderdate AS at, CAST(o_custkey % 5 AS VARCHAR) AS cost, o_orderstatus AS status FROM orders),
@@ -128,14 +130,14 @@ def streamed_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     settled = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").cast("timestamp").alias("at"), F.concat(sign, (F.col("l_quantity").cast("bigint") % 5).cast("string")).alias("cost"), F.col("l_linestatus").alias("status"))
 
     def made(path: str) -> DataFrame:
-        folders, width, last = arriving({"calls": calls, "settled": settled}, path, within)
+        folders, delay, last = arriving({"calls": calls, "settled": settled}, path, within)
         for k in range(ARRIVALS):  # each a run of its own, which goes on from the state of the one before
             for name, folder in folders.items():
                 files.folder(spark, folder)
                 if files.exists(spark, f"{path}/staged-{name}/arrival={k}"):
                     files.place(spark, f"{path}/staged-{name}/arrival={k}", f"{folder}/{k}")
             sides = [flows.source(spark, f"{folder}/*", "id long, at timestamp, cost string, status string", files=10_000) for folder in folders.values()]
-            flows.drain(flows.settlements(*sides, ["status"], within, f"{width} microseconds"), f"{path}/out", f"{path}/state")
+            flows.drain(flows.settlements(*sides, ["status"], within, f"{delay} milliseconds"), f"{path}/out", f"{path}/state")
         met = spark.read.parquet(f"{path}/out").where(F.unix_micros(F.coalesce("at", "settled_at")) <= last)  # without the rows that end the sides
         return met.groupBy(F.year(F.coalesce("at", "settled_at")).alias("year"), "problem").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
 

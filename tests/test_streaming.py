@@ -89,3 +89,20 @@ def test_settlements_of_streams(spark, tmp_path, turned):
         flows.drain(flows.settlements(calls, settled, ["status"], "10 minutes", "20 minutes"), str(tmp_path / "out"), str(tmp_path / "point"))
         seen.append(_found(spark.read.parquet(str(tmp_path / "out"))))
     assert len(seen[0]) < len(seen[1]) and seen[1] == sorted(WANT, key=repr)
+
+
+@pytest.mark.parametrize("days", [6, 0])
+def test_streamed_settlements_first_day(spark, tmp_path, days):
+    """Rows of the first day that come late are no later than the delay, though the days fall on the slices' borders; nor are those of one day only."""
+    from datetime import datetime, timedelta
+
+    from millrace.plans.stored import ORACLES, streamed_settlements
+
+    from . import parity
+
+    day = lambda k: datetime(1995, 1, 1) + timedelta(days=k)
+    orders = [(k, day(k % (days + 1)), k, "F") for k in range(1, 29)]
+    lines = [(k, day(min(k % (days + 1) + k % 2, days)), 1 + k % 5, float(k), "F" if k % 3 else "O") for k in range(1, 25)]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_shipdate timestamp, l_linenumber int, l_quantity double, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert parity.compare(streamed_settlements(spark, str(tmp_path)), parity.views(str(tmp_path)), ORACLES["streamed_settlements"]) > 2
