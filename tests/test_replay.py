@@ -138,3 +138,11 @@ def test_dated_cases(spark):
     other = {"kind": "ambiguous", "anchors": [{"field": "era", "start": 0, "end": 2}], "axes": []}
     r = replay.score_dated(*dated(spark, replay.FAULT, True, meaning=other)).first()
     assert "incorrect_tool_operation" in r.hard_failures
+
+
+def test_cases_of_many_variants(spark):
+    """However many cases an axis has, their searches are such as the rules take."""
+    from millrace.operators.arguments import search_reason
+
+    steps = generate.cases(spark, 3000).select(F.explode("script.arguments").alias("a"))
+    assert steps.where(search_reason(F.col("a")).isNotNull()).count() == 0
