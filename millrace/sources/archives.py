@@ -170,6 +170,19 @@ def digested(rows: DataFrame) -> DataFrame:
     return _dealt(rows.where(reach), "size").mapInPandas(digest, INDEX).unionByName(rows.where(~reach))
 
 
+def _frames(pieces: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+    """Pieces (archive, nth, member, piece, content) in data frames of PIECE bytes or 1,000 rows: one for each small piece would cost far more than to read it."""
+    held, size = [], 0
+    for p in pieces:
+        held.append(p)
+        size += len(p[-1])
+        if size >= PIECE or len(held) == 1000:
+            yield pd.DataFrame(held, columns=["archive", "nth", "member", "piece", "content"])
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=["archive", "nth", "member", "piece", "content"])
+
+
 def contents(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     """archive, nth, member, piece, content: the files' bytes in pieces, numbered from 0; an empty file is one empty piece.
 
@@ -177,16 +190,16 @@ def contents(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     a gzipped archive, gone through again, by one.
     """
 
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
             for archive, mine in b.groupby("archive"):
                 with _opened(archive)[0] as f:
                     for r in mine.itertuples(index=False):
                         f.seek(int(r.at))
                         data = b"".join(_buffers(f, int(r.length)))
-                        yield pd.DataFrame({"archive": [archive], "nth": [r.nth], "member": [r.member], "piece": [r.piece], "content": [data]})
+                        yield archive, r.nth, r.member, r.piece, data
 
-    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
             for archive in b["archive"]:
                 f, zipped = _opened(archive)
@@ -197,7 +210,7 @@ def contents(rows: DataFrame, piece: int = PIECE) -> DataFrame:
                                 data = tar.extractfile(m)
                                 for k in range(max(1, -(-m.size // piece))):
                                     part = b"".join(_buffers(data, min(piece, m.size - k * piece)))
-                                    yield pd.DataFrame({"archive": [archive], "nth": [nth], "member": [m.name], "piece": [k], "content": [part]})
+                                    yield archive, nth, m.name, k, part
                     except BROKEN:  # index() has said so; what stands before the break is whole
                         continue
 
@@ -207,7 +220,7 @@ def contents(rows: DataFrame, piece: int = PIECE) -> DataFrame:
     cut = cut.select("archive", "nth", "member", (F.col("at") + F.col("start")).alias("at"), F.col("piece").cast("bigint").alias("piece"), F.least(F.col("size") - F.col("start"), F.lit(piece)).alias("length"))
     zipped = rows.where("kind = 'file' AND at IS NULL").select("archive").distinct()
     parallel = zipped.repartition(zipped.count() or 1, "archive")
-    return _dealt(cut, "length").mapInPandas(ranges, schema).unionByName(parallel.mapInPandas(streams, schema))
+    return _dealt(cut, "length").mapInPandas(lambda b: _frames(ranges(b)), schema).unionByName(parallel.mapInPandas(lambda b: _frames(streams(b)), schema))
 
 
 class Wrote(WriterCommitMessage):
