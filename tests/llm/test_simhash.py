@@ -219,3 +219,21 @@ def test_rows_whose_parts_run_into_each_other_stay_apart(spark):
     kept = simhash.distinct_documents(docs, simhash.classes(docs))
     roots = simhash.classes(docs).select("root").distinct().count()
     assert kept.count() == roots
+
+
+def test_common_shingles_decide_on_no_link(spark, monkeypatch):
+    """Whatever shingles are told to be common, none or others, the classes are the same: they only order the prefixes."""
+    base = [prose(60, s).split() for s in range(6)]
+    rows = []
+    for b in base:
+        for k in range(4):
+            w = list(b)
+            w[k * 9] = f"edit{k}"
+            rows.append((len(rows), " ".join(w if k else b), "en", "a", 0))
+    docs = frame(spark, rows)
+    classes = lambda: {r["doc_id"]: r["component_id"] for r in simhash.classes(docs, similarity=0.8).collect()}
+    sampled = classes()
+    every = np.unique(np.concatenate([simhash.shingle_hashes(r[1]) for r in rows]))
+    for told in (every[:0], every[::2]):
+        monkeypatch.setattr(simhash, "common_shingles", lambda *_, told=told: (told, np.arange(3, 3 + len(told))))
+        assert classes() == sampled
