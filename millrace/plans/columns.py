@@ -41,7 +41,7 @@ def line_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         'vote_average_min', CASE WHEN l_linenumber > 4 THEN l_quantity / 4 END,
         'network', CASE WHEN l_tax = 0.02 OR (l_tax = 0.03 AND l_linestatus = 'F') THEN concat('network ', l_suppkey) END,
         'cast', CASE WHEN l_tax = 0.03 THEN transform(sequence(1, l_linenumber), i -> concat('Actor ', i % 3)) END))"""
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", A.search_reason(F.expr(arguments)).alias("reason"))
+    rows = A.search_reasons(read(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(arguments).alias("asked")), "asked")
     return rows.groupBy("reason").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("orders"))
 
 
