@@ -1,28 +1,36 @@
 """Operator 11: groups of spelling variants, by walking the words through their own trie.
 
-The trie is two tables. `edges` has a row for each node and letter: the child,
-how long the rests of words below it are, and with which letters they begin.
-`jumps` crosses levels: from a node with r letters to go to a word's end, all of
-them if they are few, else the largest power of two in r, so that a word of any
-length is walked in as many rounds as r has bits. A node is the 64-bit hash of its prefix; should two
-prefixes share one, both are walked, and what is found is verified by the words
-themselves.
+The trie is three tables. `edges` has a row for each node and letter: the child,
+and a signature of the rests of words below it; where a word ends, an edge
+without a letter leads back to its node. `ends` leads from a node with few
+letters to go to the word they end. `jumps` crosses levels where more are left:
+the largest power of two in their number, so that a word of any length is walked
+in as many rounds as that number has bits. A node is the 64-bit hash of its
+prefix; should two prefixes share one, both are walked, and what is found is
+verified by the words themselves.
 
 A state is (word, node, rest of the word, edits). Without an edit a word stands
 on its own path; states start there, one for each position. The first join with
 the edges makes the edit: the letter is replaced, another one comes before it,
-or it is left out. After that each round joins the states with the jumps; those
-at an end are neighbours.
+or it is left out; only where the signature has what is then left does a state
+go on. After that each round joins the states with the jumps, and the last one
+with the ends: those are the neighbours.
 
 Near the root a node has so many children that every word would walk all of
 them. But a word and its neighbour agree in the first half or in the second:
 words are walked forwards from their middle on, and backwards, in the trie of
 the reversed words, likewise. No pair is lost, and the states of a word are a
 dozen.
+
+Edges and first states are of the same places of the same words, so both are
+made from one exchange of places, dealt by node; what such a row is to hold is
+told by the word and the place alone, and so derived behind the exchange. Long
+words, of which a copy for each place would be large, go apart.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,10 +43,11 @@ LEAST, OFTEN, RATIO = 7, 2, 10
 #: Of the runs, those whose CRC this divides lose a letter.
 GARBLED = 31
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A rest of fewer letters is crossed at once.
+#: A rest of fewer letters is crossed at once; no word of up to SHORT letters has a longer one after its middle.
 FEW = 16
-#: Lengths from this one on share a bit.
-LONGEST_BIT = 63
+SHORT = 2 * FEW - 2
+#: A signature of rests is so many numbers of 64 bits, with one bit of each for a rest. It is never shuffled.
+PARTS = 4
 
 
 def cut(text: Column, start: Column | int, length: Column | int | None = None) -> Column:
@@ -65,17 +74,27 @@ def words_of(docs: DataFrame, key: str = "doc_id", text: str = "text", least: in
     return found.where(F.length("word") >= least).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= often)
 
 
-def _bit(length: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(length, F.lit(LONGEST_BIT)).cast("int"))
+def _letter(text: Column) -> Column:
+    """Its first code point; -1 of an empty text."""
+    return F.coalesce(F.when(text != "", F.ascii(text)), F.lit(-1))
+
+
+def _sign(rest: Column) -> Column:
+    """Which bits of a signature stand for a rest: six bits of the sign for each part."""
+    return F.xxhash64(rest).bitwiseAND(F.lit((1 << 6 * PARTS) - 1)).cast("int")
 
 
-def _letter_bit(letter: Column) -> Column:
-    """One of 64 bits for a letter's code point: it tells which letters do not follow."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), (letter % 64).cast("int"))
+def _bit(sign: Column, part: int) -> Column:
+    return F.call_function("shiftright", sign, F.lit(6 * part)).bitwiseAND(F.lit(63))
 
 
-def _has(mask: Column, bit: Column) -> Column:
-    return mask.bitwiseAND(bit) != 0
+def _signature(sign: Column) -> list[Column]:
+    return [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(sign, i))).alias(f"part{i}") for i in range(PARTS)]
+
+
+def _fits(sign: Column) -> Column:
+    """Whether the signature may hold the rest of this sign; if not, that rest is not there."""
+    return functools.reduce(lambda a, b: a & b, (F.getbit(F.col(f"part{i}"), _bit(sign, i)) == 1 for i in range(PARTS)))
 
 
 def _node(side: Column, prefix: Column) -> Column:
@@ -92,53 +111,102 @@ def _jump_key(node: Column, rest: Column) -> Column:
     return F.xxhash64(node, cut(rest, 0, _jump(r)), r)
 
 
+def _end_key(node: Column, rest: Column) -> Column:
+    return F.xxhash64(node, rest)
+
+
 def _both_ways(words: DataFrame) -> DataFrame:
-    """id, side (0 forwards, 1 backwards), w, size."""
+    """n, side (0 forwards, 1 backwards), w, size."""
     ways = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word").alias("w")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("w"))))
-    return words.select(F.xxhash64("word").alias("id"), ways.alias("x")).select("id", "x.side", "x.w", F.length("x.w").alias("size"))
+    return words.select("n", ways.alias("x")).select("n", "x.side", "x.w", F.length("x.w").alias("size"))
+
+
+def _there_and_back() -> Column:
+    """The word as it is read."""
+    return F.when(F.col("side") == 0, F.col("w")).otherwise(F.reverse("w"))
+
+
+def _dealt(rows: DataFrame, by: Column, short: bool, **made: Column) -> DataFrame:
+    """The columns made of rows that are dealt by one of them, `by`: of short words behind the exchange, so that it carries the rows alone."""
+    rows = rows.repartition(by) if short else rows
+    rows = rows.select(*[c.alias(name) for name, c in made.items()])
+    return rows if short else rows.repartition(next(iter(made)))
+
 
+def places(words: DataFrame, short: bool) -> DataFrame:
+    """node, child, rest, id, starts: each place of each word, both ways, from the depth on that a neighbour's middle can have, dealt by node.
 
-def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges (node, letter, child, rests, follow) and jumps (key, child) of the words, from the depth on that a neighbour's middle can have."""
-    at = F.explode(F.sequence(F.floor((F.col("size") - 1) / 2).cast("int"), F.col("size") - 1))
-    paths = _both_ways(words).select("side", "w", "size", at.alias("d"))
-    node, rest = _node(F.col("side"), cut(F.col("w"), 0, F.col("d"))), cut(F.col("w"), F.col("d"))
-    child = _node(F.col("side"), cut(F.col("w"), 0, F.col("d") + 1))
-    follows = cut(F.col("w"), F.col("d") + 1, 1)
-    edges = paths.select(node.alias("node"), F.ascii(cut(F.col("w"), F.col("d"), 1)).alias("letter"), child.alias("child"), _bit(F.col("size") - F.col("d") - 1).alias("rests"), F.when(follows != "", _letter_bit(F.ascii(follows))).otherwise(F.lit(0).cast("long")).alias("follow"))
-    edges = edges.groupBy("node", "letter", "child").agg(F.bit_or("rests").alias("rests"), F.bit_or("follow").alias("follow"))
-    end = _node(F.col("side"), cut(F.col("w"), 0, F.col("d") + _jump(F.col("size") - F.col("d"))))
-    jumps = paths.select(_jump_key(node, rest).alias("key"), end.alias("child"))
-    # Dealt by key once, for the join too; nearly all are different.
-    return edges, jumps.repartition("key").distinct()
+    The child is one letter on, or the node itself at the end. A state starts where `starts` holds.
+    """
+    w, p, side, size = F.col("w"), F.col("p"), F.col("side"), F.length("w")
+    at = F.explode(F.sequence(F.floor((F.col("size") - 1) / 2).cast("int"), F.col("size")))
+    first = F.when(side == 0, F.floor(size / 2)).otherwise(F.ceil(size / 2))
+    node = _node(side, cut(w, 0, p))
+    rows = _both_ways(words).select("side", "w", at.alias("p"))
+    return _dealt(rows, node, short, node=node, child=_node(side, cut(w, 0, p + 1)), rest=cut(w, p), id=F.xxhash64(_there_and_back()), starts=p >= first)
+
+
+def trie_edges(at: DataFrame) -> DataFrame:
+    """node, letter, child and the parts of a signature: the edges of the places, with the rests below the child."""
+    rest = F.col("rest")
+    rows = at.select("node", _letter(rest).alias("letter"), "child", _sign(cut(rest, 1)).alias("sign"))
+    return rows.groupBy("node", "letter", "child").agg(*_signature(F.col("sign")))
+
+
+def trie_ends(words: DataFrame, short: bool) -> DataFrame:
+    """key, near, near_n: the word that ends a rest of fewer than FEW letters, by the node and that rest; dealt by key."""
+    w, p, side = F.col("w"), F.col("p"), F.col("side")
+    lowest = F.greatest(F.floor((F.col("size") + 1) / 2).cast("int"), F.col("size") - (FEW - 1))
+    rows = _both_ways(words).select("n", "side", "w", F.explode(F.sequence(lowest, F.col("size"))).alias("p"))
+    key = _end_key(_node(side, cut(w, 0, p)), cut(w, p))
+    return _dealt(rows, key, short, key=key, near=_there_and_back(), near_n=F.col("n"))
 
 
-def edited(words: DataFrame, edges: DataFrame) -> DataFrame:
+def trie_jumps(words: DataFrame) -> DataFrame:
+    """key, child: where FEW letters or more are left, by the node, those crossed and the number left; dealt by key."""
+    w, p, size = F.col("w"), F.col("p"), F.col("size")
+    rows = _both_ways(words).where(size - F.floor((size + 1) / 2) >= FEW)
+    rows = rows.select("side", "w", "size", F.explode(F.sequence(F.floor((size + 1) / 2).cast("int"), size - FEW)).alias("p"))
+    key = _jump_key(_node(F.col("side"), cut(w, 0, p)), cut(w, p))
+    child = _node(F.col("side"), cut(w, 0, p + _jump(size - p)))
+    return rows.select(key.alias("key"), child.alias("child")).repartition("key").distinct()
+
+
+def edited(at: DataFrame) -> DataFrame:
     """The states after one edit: id, node, rest.
 
     The edit stands where a word leaves its own path, so the edge's letter is not the word's.
     """
-    first = F.when(F.col("side") == 0, F.floor(F.col("size") / 2)).otherwise(F.ceil(F.col("size") / 2)).cast("int")
-    zero = _both_ways(words).select("id", "side", "w", "size", F.explode(F.sequence(first, F.col("size"))).alias("p"))
-    zero = zero.select("id", _node(F.col("side"), cut(F.col("w"), 0, F.col("p"))).alias("node"), cut(F.col("w"), F.col("p")).alias("rest"))
     rest = F.col("rest")
-    # The next three letters as code points, 0 past the end, in one number: what is tried against each edge are numbers alone.
-    heads = sum((F.ascii(cut(rest, i, 1)).cast("long") * (1 << 21 * i) for i in range(1, 3)), F.ascii(cut(rest, 0, 1)).cast("long"))
-    walked = zero.withColumn("heads", heads).join(edges, "node")
-    first, second, third = (F.call_function("shiftright", F.col("heads"), F.lit(21 * i)).bitwiseAND(F.lit((1 << 21) - 1)).cast("int") for i in range(3))
-    letter, r = F.col("letter"), F.length(rest)
-
-    def fits(used: int, after: Column) -> Column:
-        """Whether some word below the child has the rest's length and begins as it does, once `used` letters are spent."""
-        left = r - used
-        return (left >= 0) & _has(F.col("rests"), _bit(left)) & ((left == 0) | _has(F.col("follow"), _letter_bit(after)))
-
-    spent = {1: fits(1, second), 0: fits(0, first), 2: (letter == second) & fits(2, third)}  # replaced; another before it; left out, and the next one matched
-    found = walked.where((letter != first) & (spent[0] | spent[1] | spent[2]))
+    # What is tried against each edge are numbers alone; places where no state starts have no sign, as they are there for the edges.
+    signs = [F.when(F.col("starts"), _sign(cut(rest, used))).alias(f"sign{used}") for used in range(3)]
+    zero = at.select("node", "id", "rest", _letter(rest).alias("first"), _letter(cut(rest, 1)).alias("second"), *signs)
+    walked = zero.join(trie_edges(at).withColumnRenamed("node", "from"), F.col("node") == F.col("from"))
+    letter, fits = F.col("letter"), lambda used: _fits(F.col(f"sign{used}"))
+    spent = {
+        1: (F.col("first") >= 0) & (letter >= 0) & fits(1),  # replaced
+        0: (letter >= 0) & fits(0),  # another before it
+        2: (letter == F.col("second")) & fits(2),  # left out, and the next one matched; or the word ends there
+    }
+    found = walked.where((letter != F.col("first")) & (spent[0] | spent[1] | spent[2]))
     found = found.select("id", "child", "rest", F.explode(F.array(*[F.when(ok, F.lit(used)) for used, ok in spent.items()])).alias("used")).where("used IS NOT NULL")
-    found = found.select("id", F.col("child").alias("node"), cut(rest, F.col("used")).alias("rest"))
-    # The last letter left out: the word ends where it stands.
-    return found.union(zero.where(F.length(rest) == 1).select("id", "node", F.lit("").alias("rest")))
+    return found.select("id", F.col("child").alias("node"), cut(rest, F.col("used")).alias("rest"))
+
+
+def _walked(words: DataFrame, longest: int) -> DataFrame:
+    """id, near, near_n: what the words of up to `longest` letters reach, among them all their neighbours."""
+    short = longest <= SHORT
+    states = edited(places(words, short))
+    rest, going = F.col("rest"), F.length("rest") >= FEW
+    rounds = 0 if short else ((longest + 1) // 2).bit_length() - FEW.bit_length() + 1
+    jumps = trie_jumps(words) if rounds else None
+    for _ in range(rounds):
+        # What has few letters left goes along under a key of its own.
+        keyed = states.select("id", going.alias("going"), F.when(going, _jump_key(F.col("node"), rest)).otherwise(F.xxhash64("id", "node")).alias("key"), F.when(~going, F.col("node")).alias("node"), F.when(going, cut(rest, _jump(F.length(rest)))).otherwise(rest).alias("rest"))
+        states = keyed.join(jumps, "key", "left").where("NOT going OR child IS NOT NULL")
+        states = states.select("id", F.when(F.col("going"), F.col("child")).otherwise(F.col("node")).alias("node"), "rest")
+    # A key tells all of a state: only the word goes with it.
+    return states.select("id", _end_key(F.col("node"), rest).alias("key")).join(trie_ends(words, short), "key").select("id", "near", "near_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -148,18 +216,11 @@ def neighbours(words: DataFrame) -> DataFrame:
     neighbours. Rows come dealt by the hash of word, those of a word together.
     """
     words = words.select("word", "n").where("word <> ''")
-    edges, jumps = trie(words)
-    states = edited(words, edges)
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
-    rest, going = F.col("rest"), F.col("rest") != ""
-    for _ in range(max(1, (longest // 2 + 1).bit_length() - FEW.bit_length() + 2)):
-        # What is at an end goes along under a key of its own. A key tells all of what is not: only what is left behind the jump goes with it.
-        keyed = states.select("id", going.alias("going"), F.when(going, _jump_key(F.col("node"), rest)).otherwise(F.xxhash64("id", "node")).alias("key"), F.when(~going, F.col("node")).alias("node"), cut(rest, _jump(F.length(rest))).alias("rest"))
-        states = keyed.join(jumps, "key", "left").where("NOT going OR child IS NOT NULL")
-        states = states.select("id", F.when(F.col("going"), F.col("child")).otherwise(F.col("node")).alias("node"), "rest")
-    ways = F.explode(F.array(_node(F.lit(0), F.col("word")), _node(F.lit(1), F.reverse("word"))))
-    ends = words.select(ways.alias("node"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    found = states.select("id", "node").join(ends, "node").join(words.select(F.xxhash64("word").alias("id"), "word"), "id")
+    found = _walked(words if longest <= SHORT else words.where(F.length("word") <= SHORT), SHORT)
+    if longest > SHORT:  # neighbours differ by a letter in length at most: a pair that is not wholly among the short ones is here
+        found = found.union(_walked(words.where(F.length("word") >= SHORT), longest))
+    found = found.join(words.select(F.xxhash64("word").alias("id"), "word"), "id")
     return found.where(F.levenshtein("word", "near", 1) == 1).select("id", "word", "near", "near_n").distinct()
 
 

@@ -62,6 +62,38 @@ def test_long_words_ties_and_chains(spark):
     assert ("abcdefghijk", "abcdefghij", "abcdefg", 1, 1, 10) in got
 
 
+def test_words_about_as_long_as_short_ones_may_be(spark):
+    draw = random.Random(11)
+    words = {"".join(draw.choice("abà") for _ in range(size)) for size in (s.SHORT - 1, s.SHORT, s.SHORT + 1, s.SHORT + 2, 2 * s.SHORT, 4 * s.SHORT + 3) for _ in range(6)}
+    for w in sorted(words):
+        for i in (0, len(w) // 2 - 1, len(w) // 2, len(w) // 2 + 1, len(w) - 1):
+            words |= {w[:i] + "x" + w[i:], w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :]}
+        words.add(w + "x")
+    n = {w: draw.choice([1, 2, 30, 400]) for w in sorted(words)}
+    assert said(s.variants(table(spark, n))) == by_force(n)
+
+
+def test_a_code_point_of_zero_is_a_letter(spark):
+    n = {"abcdefg": 50, "abcdefg\0": 2, "\0abcdefg": 3, "abc\0efg": 4, "abcefg": 1, "\0": 5, "a": 7}
+    assert said(s.variants(table(spark, n))) == by_force(n)
+
+
+def shuffled(spark):
+    """Bytes that this session's tasks have written to shuffles."""
+    every = spark._jsc.sc().statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+def test_bytes_shuffled_for_a_word(spark):
+    draw = random.Random(3)
+    stems = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(40)]
+    words = {draw.choice(stems) + "".join(draw.choice("etaoinsr") for _ in range(draw.choice([3, 4, 5, 6]))) for _ in range(6000)}
+    rows = s.checkpoint(table(spark, {w: 2 for w in sorted(words)}))
+    before = shuffled(spark)
+    s.neighbours(rows).write.format("noop").mode("overwrite").save()
+    assert 0 < shuffled(spark) - before < 500 * len(words)
+
+
 def test_words_of_texts(spark):
     rows = [*documents(), (20, "Straßenbahn ÉCLAIRÉS éclairés naïveté×÷ab abcdefg ABCDEFG x1abcdefgh", "fr", "a", 0)]
     rows += [(i, "wonderful beautiful " * 3, "en", "a", 0) for i in range(100, 160)] + [(100, "wonderful", "en", "a", 0)] * 2
